@@ -49,7 +49,7 @@ def shift_months(value: datetime | str, months: int) -> datetime:
 
 def ntz(value: datetime | str) -> Column:
     """A moment as a zone-free timestamp literal."""
-    return F.lit(moment(value).isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.expr(f"timestamp_ntz'{moment(value).isoformat(sep=' ')}'")
 
 
 def add_months_eom(day: Column, months: int) -> Column:

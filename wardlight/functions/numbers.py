@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 def whole(value: Column | int) -> Column:
     """An integer wide enough for products of sums."""
-    column = value if isinstance(value, Column) else F.lit(value)
-    return column.cast("decimal(38,0)")
+    return value.cast("decimal(38,0)") if isinstance(value, Column) else F.expr(f"cast({value} as decimal(38,0))")
 
 
 def _div(left: Column, right: Column) -> Column:
@@ -41,36 +40,12 @@ def floor_ratio(numerator: Column, denominator: Column) -> Column:
     return _div(top - F.pmod(top, bottom), bottom).cast("bigint")
 
 
-# 2**60: a double below 1 that is at least 1/256 has no bit under 2**-60, so
-# scaling its fraction by this is exact wherever a rounding tie can lie.
-_FRACTION_SCALE = 1 << 60
-
-
-def _nearest_even(value: Column, digits: int) -> Column:
-    """|value| * 10**digits, rounded on the exact binary value, ties to even."""
-    size = F.abs(value.cast("double"))
-    base = F.floor(size)
-    fraction = ((size - base) * F.lit(float(_FRACTION_SCALE))).cast("bigint")
-    scaled = fraction.cast("decimal(20,0)") * whole(10**digits)
-    one = whole(_FRACTION_SCALE)
-    below = _div(scaled, one)
-    rest = (scaled - whole(below) * one) * whole(2)
-    units = whole(base) * whole(10**digits) + whole(below)
-    up = (rest > one) | ((rest == one) & (units % whole(2) == whole(1)))
-    return units + F.when(up, whole(1)).otherwise(whole(0))
+def fixed_text(value: Column, digits: int) -> Column:
+    """``f"{value:.{digits}f}"`` of Python: rounded on the exact binary value, ties to even."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
 
 
 def python_round(value: Column, digits: int = 0) -> Column:
-    """``round(value, digits)`` of Python for |value| below 9e15, as a double."""
-    units = _nearest_even(value, digits).cast("double") / F.lit(float(10**digits))
-    return F.when(value < 0, -units).otherwise(units)
-
-
-def fixed_text(value: Column, digits: int) -> Column:
-    """``f"{value:.{digits}f}"`` of Python for |value| below 9e15."""
-    units = _nearest_even(value, digits)
-    body = _div(units, whole(10**digits)).cast("string")
-    if digits:
-        tail = (units % whole(10**digits)).cast("bigint").cast("string")
-        body = F.concat(body, F.lit("."), F.lpad(tail, digits, "0"))
-    return F.when(value < 0, F.concat(F.lit("-"), body)).otherwise(body)
+    """``round(value, digits)`` of Python, as a double."""
+    return fixed_text(value, digits).cast("double")

@@ -63,16 +63,21 @@ def monthly_evolution(
 
 def period_indicators(
     df: DataFrame, indicators: Sequence[tuple[str, Column]], where: Column | None = None,
-    keys: Sequence[str] = (),
+    keys: Sequence[str] = (), weight: str | None = None,
 ) -> DataFrame:
     """One row per named condition with the number of rows that meet it, in one scan.
 
     Only rows that meet some condition are read; with ``keys`` the counts are
-    taken per key.
+    taken per key.  ``weight`` names a row count of rows that were already
+    counted together.
     """
     rows = kept(df, where, None if keys else reduce(or_, [condition for _, condition in indicators]))
+
+    def count(condition: Column) -> Column:
+        return F.count_if(condition) if weight is None else F.sum(F.when(condition, F.col(weight)).otherwise(0))
+
     counted = rows.groupBy(*keys).agg(
-        *[F.count_if(condition).alias(f"n{i}") for i, (_, condition) in enumerate(indicators)]
+        *[count(condition).alias(f"n{i}") for i, (_, condition) in enumerate(indicators)]
     )
     stacked = F.array(*[
         F.struct(F.lit(i + 1).alias("ord"), F.lit(name).alias("indic"), F.col(f"n{i}").alias("quant"))

@@ -24,32 +24,23 @@ def visit_progress(events: DataFrame, visit_id: str, step: str, at: int, later:
     )
 
 
-def stalled_visits(
-    visits: DataFrame, events: DataFrame, visit_id: str, step: str, at: int, later: Column,
-    since: datetime | str, arrival: str, require: DataFrame | None = None,
-) -> DataFrame:
-    """Ids of visits since ``since`` that reached a step and no later one.
-
-    One aggregate per visit answers both "has step" and "has no later step", so
-    events are read once.  It comes before the semi joins: a visit with very
-    many events has shrunk to one row by then, and Catalyst still moves a semi
-    join with a small side below the aggregate.
-    """
-    waiting = visit_progress(events, visit_id, step, at, later).filter("reached and not passed")
-    recent = visits.filter(F.col(arrival) >= ntz(since)).select(visit_id)
-    waiting = waiting.join(recent, visit_id, "left_semi")
-    if require is not None:
-        waiting = waiting.join(require.select(visit_id), visit_id, "left_semi")
-    return waiting.select(visit_id)
-
-
 def stalled_at_step(
     visits: DataFrame, events: DataFrame, visit_id: str, step: str, at: int, later: Column,
     since: datetime | str, arrival: str, require: DataFrame | None = None, count: str = "n",
 ) -> DataFrame:
-    """Number of visits that stalled at a step (see ``stalled_visits``)."""
-    waiting = stalled_visits(visits, events, visit_id, step, at, later, since, arrival, require)
-    return waiting.agg(F.count(F.lit(1)).alias(count))
+    """Number of visits since ``since`` that reached a step and no later one.
+
+    ``require`` lists the only visits to look at, if given.  One aggregate per
+    visit answers both "has the step" and "has no later step", so events are
+    read once, and a visit with very many events is one row before any join.
+    Catalyst moves a semi join with a small side below that aggregate, as long
+    as no filter lies between them; hence the conditional count at the end.
+    """
+    progress = visit_progress(events, visit_id, step, at, later)
+    for wanted in (visits.filter(F.col(arrival) >= ntz(since)), require):
+        if wanted is not None:
+            progress = progress.join(wanted.select(visit_id), visit_id, "left_semi")
+    return progress.agg(F.count_if(F.col("reached") & ~F.col("passed")).alias(count))
 
 
 def single_event_queue(
@@ -61,9 +52,8 @@ def single_event_queue(
     counted = (
         events.groupBy(visit_id).agg(F.count(F.lit(1)).alias("n"))
         .join(today, visit_id, "left_semi")
-        .filter("n = 1")
     )
-    return counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("quantidade"))
+    return counted.agg(F.count_if(F.col("n") == 1).alias("quantidade"))
 
 
 def frequent_returners(

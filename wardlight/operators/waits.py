@@ -57,34 +57,29 @@ def step_instants(
 
 
 def _split(instants: DataFrame, visit_id: str) -> DataFrame:
-    """One row per side and instant: whole minutes, remainder and slot."""
-    micros = micros_between(ntz(_EPOCH), F.col("instant"))
-    side = F.struct
-    rows = instants.select(
+    """One row per side and instant: whole minutes, remainder, slot and the real instant."""
+    half, minute = MICROS_PER_MINUTE // 2, MICROS_PER_MINUTE
+    sides = instants.withColumn("real", micros_between(ntz(_EPOCH), F.col("instant"))).selectExpr(
         visit_id,
-        F.inline(F.array(
-            side(micros.alias("at"), F.col("n_from"), F.lit(0).cast("bigint").alias("n_to")),
-            side(
-                (micros + F.lit(MICROS_PER_MINUTE // 2)).alias("at"),
-                F.lit(0).cast("bigint").alias("n_from"),
-                F.col("n_to"),
-            ),
-        )),
-    ).filter("n_from > 0 or n_to > 0")
-    rest = F.pmod("at", F.lit(MICROS_PER_MINUTE))
-    return rows.withColumns({
-        "rest": rest,
-        "minutes": F.expr(f"(at - pmod(at, {MICROS_PER_MINUTE})) div {MICROS_PER_MINUTE}"),
-        "slot": F.floor(rest / _SLOT),
-        # The real instant, to order equal remainders.
-        "real": F.when(F.col("n_to") > 0, F.col("at") - MICROS_PER_MINUTE // 2).otherwise(F.col("at")),
-    })
+        "real",
+        f"inline(array(struct(real as at, n_from, 0L as n_to), struct(real + {half} as at, 0L as n_from, n_to)))",
+    )
+    return sides.where("n_from > 0 or n_to > 0").selectExpr(
+        visit_id,
+        "real",
+        "n_from",
+        "n_to",
+        f"pmod(at, {minute}) as rest",
+        f"cast((at - pmod(at, {minute})) div {minute} as decimal(38,0)) as minutes",
+        f"pmod(at, {minute}) div {_SLOT} as slot",
+    )
 
 
 def pair_minutes(instants: DataFrame, visit_id: str) -> DataFrame:
     """Number of pairs and the sum of their rounded minutes, over all visits.
 
     ``instants`` comes from ``step_instants``: one row per visit and instant.
+    The sums are decimals because products of counts can pass 64 bits.
     """
     inside = Window.partitionBy(visit_id, "slot").orderBy("rest", "real").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -94,11 +89,11 @@ def pair_minutes(instants: DataFrame, visit_id: str) -> DataFrame:
         .withColumn("earlier", F.sum("n_to").over(inside))
         .groupBy(visit_id, "slot")
         .agg(
-            F.sum("n_from").alias("n_from"),
-            F.sum("n_to").alias("n_to"),
-            F.sum(whole(F.col("n_from")) * whole(F.col("minutes"))).alias("from_minutes"),
-            F.sum(whole(F.col("n_to")) * whole(F.col("minutes"))).alias("to_minutes"),
-            F.sum(whole(F.col("n_from")) * whole(F.col("earlier"))).alias("inversions"),
+            F.expr("sum(n_from) as n_from"),
+            F.expr("sum(n_to) as n_to"),
+            F.expr("sum(cast(n_from * minutes as decimal(38,0))) as from_minutes"),
+            F.expr("sum(cast(n_to * minutes as decimal(38,0))) as to_minutes"),
+            F.expr("sum(cast(n_from as decimal(38,0)) * earlier) as inversions"),
         )
     )
     # Slots of one visit: at most 3840 rows.
@@ -107,18 +102,16 @@ def pair_minutes(instants: DataFrame, visit_id: str) -> DataFrame:
         by_slot.withColumn("before", F.coalesce(F.sum("n_to").over(before), F.lit(0)))
         .groupBy(visit_id)
         .agg(
-            whole(F.sum("n_from")).alias("n_from"),
-            whole(F.sum("n_to")).alias("n_to"),
-            whole(F.sum("from_minutes")).alias("from_minutes"),
-            whole(F.sum("to_minutes")).alias("to_minutes"),
-            whole(F.sum(F.col("inversions") + whole(F.col("n_from")) * whole(F.col("before")))).alias("inversions"),
+            F.expr("cast(sum(n_from) as decimal(38,0)) as n_from"),
+            F.expr("cast(sum(n_to) as decimal(38,0)) as n_to"),
+            F.expr("sum(from_minutes) as from_minutes"),
+            F.expr("sum(to_minutes) as to_minutes"),
+            F.expr("sum(inversions + cast(n_from as decimal(38,0)) * before) as inversions"),
         )
     )
-    pairs = whole(F.col("n_from") * F.col("n_to"))
-    minutes = whole(F.col("n_from") * F.col("to_minutes")) - whole(F.col("n_to") * F.col("from_minutes"))
-    return per_visit.agg(
-        whole(F.coalesce(F.sum(pairs), whole(0))).alias("pairs"),
-        whole(F.coalesce(F.sum(minutes - F.col("inversions")), whole(0))).alias("total"),
+    return per_visit.selectExpr(
+        "cast(coalesce(sum(n_from * n_to), 0) as decimal(38,0)) as pairs",
+        "cast(coalesce(sum(n_from * to_minutes - n_to * from_minutes - inversions), 0) as decimal(38,0)) as total",
     )
 
 

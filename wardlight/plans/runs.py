@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from wardlight.schemas import schema
 
 def query_label(key: str) -> str:
     """Readable name of a query: words capitalised, also after a digit."""
-    return key.replace("_", " ").strip().title()
+    return " ".join(word.title() for word in key.split("_") if word)
 
 
 def run_query(query: Query, tables: Mapping[str, DataFrame], as_of: datetime, sample: int = fixed.SAMPLE_ROWS) -> tuple:
@@ -44,11 +45,13 @@ def run_query(query: Query, tables: Mapping[str, DataFrame], as_of: datetime, sa
 
 
 def run_catalog(
-    spark: SparkSession, tables: Mapping[str, DataFrame], as_of: datetime | str, queries: Iterable[Query] | None = None
+    spark: SparkSession, tables: Mapping[str, DataFrame], as_of: datetime | str,
+    queries: Iterable[Query] | None = None, parallel: int = 4,
 ) -> DataFrame:
-    """Run log with one row per catalog query."""
+    """Run log with one row per catalog query; ``parallel`` queries share the cluster at a time."""
     at = moment(as_of)
-    rows = [run_query(q, tables, at) for q in (catalog() if queries is None else queries)]
+    with ThreadPoolExecutor(parallel) as pool:
+        rows = list(pool.map(lambda q: run_query(q, tables, at), catalog() if queries is None else queries))
     return spark.createDataFrame(rows, schema("run_log"))
 
 
@@ -78,14 +81,14 @@ def snapshot(
 ) -> dict[str, DataFrame]:
     """Run log, metrics, status, alerts and findings of one moment.
 
-    The run log and the metrics are small and feed everything else; the caller
-    may cache them.
+    The metrics feed everything else and are ten rows, so they are persisted; the
+    caller may unpersist them.
     """
     at = moment(as_of)
     run_log = run_catalog(spark, tables, at).withColumns(
         {"as_of": ntz(at), "unit_id": F.lit(unit_id).cast("bigint")}
     )
-    table = snapshot_metrics(tables, at, unit_id)
+    table = snapshot_metrics(tables, at, unit_id).persist()
     names = metrics.metric_catalog(spark)
     raised = (
         alerting.threshold_alerts(table, alerting.threshold_rules(spark))
