@@ -1,12 +1,12 @@
 import json
 from pathlib import Path
 
-from hospital import AS_OF, tables, values
+from hospital import AS_OF, table, tables, values
 from pyspark.sql import functions as F
 
 from wardlight.session import shared_folder
 from wardlight.sources import sinks
-from wardlight.sources.tables import normalised, read_parquet_tables
+from wardlight.sources.tables import ingest_table, normalised, read_parquet_tables
 
 
 def test_tables_are_normalised(spark):
@@ -19,15 +19,28 @@ def test_tables_are_normalised(spark):
 def test_parquet_round_trip(spark, tmp_path):
     given = tables(spark, cid=[{"cd_cid": "A", "ds_cid": ""}], produto=[{"cd_produto": 1, "ds_produto": "x"}])
     for name in ("cid", "produto"):
-        given[name].write.parquet(str(tmp_path / name))
+        ingest_table(given[name], name, str(tmp_path))
     read = read_parquet_tables(spark, str(tmp_path), ["cid", "produto"])
     assert values(read["cid"]) == [("A", None)] and values(read["produto"]) == [(1, "x")]
+    given["cid"].write.mode("overwrite").parquet(str(tmp_path / "cid"))
+    assert values(read_parquet_tables(spark, str(tmp_path), ["cid"])["cid"]) == [("A", "")]
+    assert values(read_parquet_tables(spark, str(tmp_path), ["cid"], blank_is_null=True)["cid"]) == [("A", None)]
+
+
+def test_text_and_date_filters_reach_ingested_tables(spark, tmp_path):
+    rows = [{"cd_atendimento": i, "tp_atendimento": "I", "dt_atendimento": AS_OF} for i in range(3)]
+    ingest_table(table(spark, "atendime", rows), "atendime", str(tmp_path), "dt_atendimento")
+    read = read_parquet_tables(spark, str(tmp_path), ["atendime"])["atendime"]
+    found = read.filter((F.col("tp_atendimento") == "I") & (F.col("dt_atendimento") >= F.expr("timestamp_ntz'2024-05-01'")))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    assert "EqualTo(tp_atendimento,I)" in plan(found) and "GreaterThanOrEqual(dt_atendimento" in plan(found)
+    assert found.count() == 3
 
 
 def test_facts_are_laid_out_by_month(spark, tmp_path):
     df = spark.range(100).withColumn("t", F.expr("timestamp_ntz'2024-01-15' + make_interval(0, cast(id % 3 as int))"))
     path = str(tmp_path / "facts")
-    sinks.write_facts(df, path, "t", files_per_month=2)
+    sinks.write_facts(df, path, "t")
     back = spark.read.parquet(path)
     assert back.count() == 100 and back.select("month").distinct().count() == 3
     assert "PartitionFilters: [isnotnull(month" in plan(back.filter("month = '2024-02'"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardlight import fixed
 from wardlight.functions.numbers import python_round
 from wardlight.operators.alerts import has_error
-from wardlight.operators.metrics import SNAPSHOT, metrics_wide
+from wardlight.operators.metrics import SNAPSHOT
 
 
 def classify_runs(run_log: DataFrame) -> DataFrame:
@@ -54,8 +54,8 @@ def run_summary(run_log: DataFrame, alerts: DataFrame, keys: Sequence[str] = ())
 def cross_findings(run_log: DataFrame, metrics: DataFrame, keys: Sequence[str] = SNAPSHOT) -> DataFrame:
     """Findings per snapshot from the row counts of the shared-operations queries and two metrics.
 
-    Counts and metrics are spread to columns and meet in one union and one
-    aggregate; a missing query or metric counts as 0.
+    Counts and metrics meet in one union and one aggregate; a missing query or
+    metric counts as 0.
     """
     runs = {
         "administered": "medicacao_administrada",
@@ -65,14 +65,15 @@ def cross_findings(run_log: DataFrame, metrics: DataFrame, keys: Sequence[str] =
         "old": "os_manutencao_aberta_mais_24h",
     }
     shared = F.col("area") == fixed.AREAS[-1]
-    counts = run_log.groupBy(*keys).agg(*[
-        F.max(F.when(shared & (F.col("query_key") == key), F.col("row_count"))).alias(name)
-        for name, key in runs.items()
+    figures = {"queue": "fila_total", "low": "itens_alto_risco_baixo"}
+    counts = run_log.select(*keys, *[
+        F.when(shared & (F.col("query_key") == key), F.col("row_count")).alias(name) for name, key in runs.items()
+    ])
+    values = metrics.select(*keys, *[
+        F.when(F.col("metric") == metric, F.col("value")).alias(name) for name, metric in figures.items()
     ])
-    values = metrics_wide(metrics, ["fila_total", "itens_alto_risco_baixo"], keys).toDF(*keys, "queue", "low")
-    names = [*runs, "queue", "low"]
     merged = counts.unionByName(values, allowMissingColumns=True).groupBy(*keys).agg(
-        *[F.coalesce(F.max(n), F.lit(0)).alias(n) for n in names]
+        *[F.coalesce(F.max(name), F.lit(0)).alias(name) for name in (*runs, *figures)]
     )
     col = F.col
     quiet = (col("queue") < fixed.QUIET_QUEUE) & (col("low") <= fixed.QUIET_STOCK)

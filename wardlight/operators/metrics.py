@@ -30,37 +30,46 @@ def metric_catalog(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.range(1).select(F.inline(F.array(*rows))))
 
 
-# What each operator result contributes to a snapshot: aggregates over its rows.
+# What each row of an operator result contributes to its snapshot.  A value that
+# depends on an order travels with its place in that order.
+def _placed(place: Column, value: Column) -> Column:
+    return F.struct(place.alias("place"), value.cast("double").alias("value"))
+
+
 def _admissions(row: Mapping[str, Column]) -> dict[str, Column]:
     name = F.lower(row["indic"])
     admitted = name.contains("internados")
-    discharged = ~admitted & name.contains("altas")
+    place = _placed(row["ord"], row["quant"])
     return {
-        "admitted": F.max_by(F.when(admitted, row["quant"]), F.when(admitted, row["ord"])),
-        "discharged": F.max_by(F.when(discharged, row["quant"]), F.when(discharged, row["ord"])),
+        "admitted": F.when(admitted, place),
+        "discharged": F.when(~admitted & name.contains("altas"), place),
     }
 
 
 _CONTRIBUTIONS = {
     "period_indicators": _admissions,
-    "deaths": lambda row: {
-        "deaths_oldest": F.min_by(row["qtd_obitos"], row["mes_ano"]),
-        "deaths_newest": F.max_by(row["qtd_obitos"], row["mes_ano"]),
-    },
-    "reception_queue": lambda row: {"reception": F.max(row["n"])},
-    "triage_queue": lambda row: {"triage": F.max(row["quantidade"])},
-    "admitted_now": lambda row: {"admitted_now": F.max(row["quant"])},
+    "deaths": lambda row: {"deaths": _placed(row["mes_ano"], row["qtd_obitos"])},
+    "reception_queue": lambda row: {"reception": row["n"].cast("double")},
+    "triage_queue": lambda row: {"triage": row["quantidade"].cast("double")},
+    "admitted_now": lambda row: {"admitted_now": row["quant"].cast("double")},
     "surgery_status": lambda row: {
-        "surgeries": F.sum(row["qtde"]),
-        "late": F.sum(F.when(F.upper(row["tp_situacao"]).isin(fixed.LATE_STATES), row["qtde"])),
+        "surgeries": row["qtde"].cast("double"),
+        "late": F.when(F.upper(row["tp_situacao"]).isin(fixed.LATE_STATES), row["qtde"]).cast("double"),
     },
-    "product_months": lambda row: {"low_items": F.count_if(row["qtde"] < fixed.LOW_STOCK)},
+    "product_months": lambda row: {"low_items": F.when(row["qtde"] < fixed.LOW_STOCK, 1.0)},
 }
 
-_PARTS = [
-    "admitted", "discharged", "deaths_oldest", "deaths_newest", "reception", "triage", "admitted_now",
-    "surgeries", "late", "low_items",
-]
+
+# How the contributions of a snapshot are put together.
+def _merged(newest_deaths: bool) -> dict[str, Column]:
+    deaths = F.max("deaths") if newest_deaths else F.min("deaths")
+    return {
+        "admitted": F.max("admitted").getField("value"),
+        "discharged": F.max("discharged").getField("value"),
+        "deaths": deaths.getField("value"),
+        **{name: F.max(name) for name in ("reception", "triage", "admitted_now")},
+        **{name: F.sum(name) for name in ("surgeries", "late", "low_items")},
+    }
 
 
 def metric_table(
@@ -70,22 +79,21 @@ def metric_table(
     """The ten metrics of every snapshot that occurs in some operator result.
 
     ``results`` maps the names in ``_CONTRIBUTIONS`` to operator results that
-    carry the snapshot keys.  Each is reduced to one row per snapshot and the
-    parts meet in one union and one aggregate, without joins.  A snapshot
-    without rows of some result gets 0 for it.  The death count is that of the
-    oldest month listed, or of the newest with ``newest_deaths``.
+    carry the snapshot keys.  All their rows meet in one union and one aggregate
+    (one shuffle, combined on the map side), without joins.  A snapshot without
+    rows of some result gets 0 for it.  The death count is that of the oldest
+    month listed, or of the newest with ``newest_deaths``.
     """
     union: DataFrame | None = None
     for name, result in results.items():
         row = {c: F.col(c) for c in result.columns}
-        aggregates = {n: c.cast("double").alias(n) for n, c in _CONTRIBUTIONS[name](row).items()}
-        part = result.groupBy(*keys).agg(*aggregates.values())
-        union = part if union is None else union.unionByName(part, allowMissingColumns=True)
-    present = [p for p in _PARTS if p in union.columns]
-    merged = union.groupBy(*keys).agg(*[F.max(p).alias(p) for p in present])
-    filled = merged.select(
-        *keys, *[(F.coalesce(p, F.lit(0.0)) if p in present else F.lit(0.0)).alias(p) for p in _PARTS]
-    )
+        parts = [column.alias(part) for part, column in _CONTRIBUTIONS[name](row).items()]
+        rows = result.select(*keys, *parts)
+        union = rows if union is None else union.unionByName(rows, allowMissingColumns=True)
+    filled = union.groupBy(*keys).agg(*[
+        (F.coalesce(column, F.lit(0.0)) if part in union.columns else F.lit(0.0)).alias(part)
+        for part, column in _merged(newest_deaths).items()
+    ])
     col = F.col
     share = col("admitted") / F.greatest(col("admitted") + col("discharged"), F.lit(1.0)) * 100
     occupancy = F.when(col("admitted") == 0, 0.0).otherwise(F.least(F.lit(100.0), share))
@@ -97,7 +105,7 @@ def metric_table(
     )
     values = [
         ("Diretoria", "ocupacao_percent", occupancy),
-        ("Diretoria", "obitos_mes_atual", col("deaths_newest" if newest_deaths else "deaths_oldest")),
+        ("Diretoria", "obitos_mes_atual", col("deaths")),
         ("Enfermagem", "fila_total", queue),
         ("Enfermagem", "tempo_medio_espera_min", wait),
         ("UTI", "ocupacao_uti_percent", icu),

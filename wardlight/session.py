@@ -24,13 +24,21 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+# Further ones for a cluster: shuffles start fine-grained and are merged to the
+# advised size, so one setting serves a day's window and a full history.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+}
+
 
 def build_session(name: str = "wardlight", master: str | None = None, **settings: str) -> SparkSession:
-    """A session with ``SETTINGS``; further settings override them."""
+    """A session with ``SETTINGS`` (and ``CLUSTER_SETTINGS`` unless local); further settings override them."""
     builder = SparkSession.builder.appName(name)
     if master is not None:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **settings}.items():
+    local = master is not None and master.startswith("local")
+    for key, value in {**SETTINGS, **({} if local else CLUSTER_SETTINGS), **settings}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

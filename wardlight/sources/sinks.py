@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_facts(df: DataFrame, path: str, ts: str, files_per_month: int = 1, mode: str = "overwrite") -> None:
+def write_facts(df: DataFrame, path: str, ts: str, mode: str = "overwrite") -> None:
     """Parquet partitioned by month of ``ts``, so date windows read only their months.
 
-    Rows are spread over ``files_per_month`` tasks per month, which also splits
-    a month that holds most of the rows.
+    Rebalancing gathers the rows of a small month into one file and, under
+    adaptive execution, splits a month that holds most of the rows.
     """
-    month = F.date_format(ts, "yyyy-MM")
-    spread = (F.rand(seed=7) * files_per_month).cast("int")
-    rows = df.withColumn("month", month)
-    rows.repartition("month", spread).write.mode(mode).partitionBy("month").parquet(path)
+    rows = df.withColumn("month", F.date_format(ts, "yyyy-MM"))
+    rows.hint("rebalance", "month").write.mode(mode).partitionBy("month").parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite") -> None:

@@ -9,44 +9,67 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from wardlight.schemas import SOURCE_DDL, schema
+from wardlight.sources.sinks import write_facts
 
 
-def normalised(df: DataFrame, table: str | None = None) -> DataFrame:
+def normalised(df: DataFrame, table: str | None = None, blank_is_null: bool = True) -> DataFrame:
     """Lower-case column names, empty text as NULL and, for a known table, the declared types.
 
     Only declared columns are kept, so a wide source table is pruned at the scan.
     """
     df = df.toDF(*[c.lower() for c in df.columns])
-    declared = {f.name: f.dataType for f in schema(table)} if table else {f.name: f.dataType for f in df.schema}
+    fields = schema(table) if table else df.schema
     columns = []
-    for name, kind in declared.items():
-        column = F.col(name).cast(kind)
-        if isinstance(kind, StringType):
+    for field in fields:
+        column = F.col(field.name).cast(field.dataType)
+        if blank_is_null and isinstance(field.dataType, StringType):
             column = F.nullif(column, F.lit(""))
-        columns.append(column.alias(name))
+        columns.append(column.alias(field.name))
     return df.select(*columns)
 
 
-def read_parquet_tables(spark: SparkSession, folder: str, names: Iterable[str] = tuple(SOURCE_DDL)) -> dict[str, DataFrame]:
-    """Source tables stored as ``folder/<table>``, with declared schemas."""
-    return {name: normalised(spark.read.parquet(f"{folder.rstrip('/')}/{name}"), name) for name in names}
+def ingest_table(df: DataFrame, table: str, folder: str, ts: str | None = None, mode: str = "overwrite") -> None:
+    """Store a source table as ``folder/<table>``, normalised once, by month of ``ts`` if given."""
+    path = f"{folder.rstrip('/')}/{table}"
+    rows = normalised(df, table)
+    if ts is None:
+        rows.write.mode(mode).parquet(path)
+    else:
+        write_facts(rows, path, ts, mode)
+
+
+def read_parquet_tables(
+    spark: SparkSession, folder: str, names: Iterable[str] = tuple(SOURCE_DDL), blank_is_null: bool = False
+) -> dict[str, DataFrame]:
+    """Source tables stored as ``folder/<table>``, with declared schemas.
+
+    Ingested tables hold no empty text.  For others ask for ``blank_is_null``,
+    at the price that filters on text no longer reach the scan.
+    """
+    return {
+        name: normalised(spark.read.parquet(f"{folder.rstrip('/')}/{name}"), name, blank_is_null) for name in names
+    }
 
 
 def read_jdbc_table(
     spark: SparkSession, url: str, table: str, properties: Mapping[str, str], known_as: str | None = None,
     partition_column: str | None = None, bounds: tuple[object, object] | None = None, partitions: int = 1,
-    fetch_size: int = 10_000,
+    fetch_size: int = 10_000, blank_is_null: bool = False,
 ) -> DataFrame:
     """A database table, read in ``partitions`` ranges of ``partition_column``.
 
     ``properties`` carries driver, user and password; the caller takes them from
-    its own secret store or environment.  Filters and column choices of later
-    operators are pushed into the database query.
+    its own secret store or environment.  A known table is read in its declared
+    types, so that filters and column choices go into the database query.
     """
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, fetchsize=fetch_size, **properties)
+    reader = spark.read.format("jdbc").options(
+        url=url, dbtable=table, fetchsize=fetch_size, preferTimestampNTZ=True, **properties
+    )
+    if known_as is not None:
+        reader = reader.option("customSchema", SOURCE_DDL[known_as])
     if partition_column is not None:
         lower, upper = bounds
         reader = reader.options(
             partitionColumn=partition_column, lowerBound=str(lower), upperBound=str(upper), numPartitions=partitions
         )
-    return normalised(reader.load(), known_as)
+    return normalised(reader.load(), known_as, blank_is_null)
