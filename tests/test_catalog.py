@@ -156,7 +156,6 @@ def test_snapshot(spark, data):
     assert titles == {"Risco de vício/uso recorrente em medicação", "Conferência de prescrição", "Manutenção com fila envelhecida"}
     summary = result["summary"].first()
     assert (summary.queries, summary.errors, summary.high_alerts) == (34, 0, 1)
-    result["metrics"].unpersist()
 
 
 def test_every_table_has_a_schema(data):

@@ -196,3 +196,11 @@ def test_alert_contract(spark):
     ]
     df = spark.createDataFrame(rows, "area string, prioridade string, titulo string, descricao string, want string")
     assert all(r.problem == r.want for r in alerts.check_alerts(df).select("problem", F.col("want")).collect())
+
+
+def test_first_number(spark):
+    df = spark.createDataFrame([(1, "x", None, 5), (2, "y", 2.5, 6), (3, "z", None, 7)], "o int, t string, a double, b int")
+    assert values(metrics.first_number(df, ["t", "a"], ["o"])) == [(2.5,)]
+    assert values(metrics.first_number(df, ["a", "b"], ["o"])) == [(5.0,)]
+    assert values(metrics.first_number(df, ["t"], ["o"])) == [(0.0,)]
+    assert values(metrics.first_number(df.limit(0), ["b"], ["o"])) == [(0.0,)]

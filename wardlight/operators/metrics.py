@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from wardlight import fixed
 from wardlight.functions.numbers import fixed_text, python_round
@@ -30,6 +31,18 @@ def metric_catalog(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.range(1).select(F.inline(F.array(*rows))))
 
 
+def first_number(df: DataFrame, columns: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The first number in ``columns``, row by row in ``order``; 0 if there is none.
+
+    Columns that hold no numbers are passed over, as are missing values.
+    """
+    numeric = [f.name for f in df.schema if f.name in columns and isinstance(f.dataType, NumericType)]
+    found = F.coalesce(*[F.col(c).cast("double") for c in columns if c in numeric], F.lit(None).cast("double"))
+    place = F.struct(*[F.col(o) if isinstance(o, str) else o for o in order])
+    first = F.min_by(found, F.when(found.isNotNull(), place))
+    return df.agg(F.coalesce(first, F.lit(0.0)).alias("number"))
+
+
 # What each row of an operator result contributes to its snapshot.  A value that
 # depends on an order travels with its place in that order.
 def _placed(place: Column, value: Column) -> Column:

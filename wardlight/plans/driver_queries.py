@@ -19,7 +19,7 @@ from wardlight.operators import aging as ageing
 from wardlight.operators import alerts, annotations, counting, encounters, findings, metrics, pharmacy, queues, stays, waits
 from wardlight.plans.catalog import catalog
 from wardlight.plans.runs import run_catalog
-from wardlight.session import shared_folder
+from wardlight.session import shared_folder, written
 from wardlight.sources.driver_tables import (
     EVENTS_AS_OF,
     HOSPITAL_AS_OF,
@@ -372,8 +372,13 @@ def _metrics(spark, folder):
     })
 
 
-def _alerts(spark, folder):
-    table = _metrics(spark, folder)
+def _written_metrics(spark, folder):
+    """The metric table as later steps of a snapshot job see it: computed once."""
+    return written(_metrics(spark, folder), "metrics")
+
+
+def _alerts(spark, folder, table=None):
+    table = _written_metrics(spark, folder) if table is None else table
     return alerts.threshold_alerts(table, alerts.threshold_rules(spark)).unionByName(alerts.cross_alerts(table))
 
 
@@ -402,6 +407,13 @@ def _run_log(spark, folder):
     return counted.select(*KEYS, F.inline(F.array(*[F.col(key) for _, key, _, _ in runs])))
 
 
+@_bound
+def first_number(spark, folder):
+    return metrics.first_number(
+        _orders(spark, folder), ["o_orderpriority", "o_totalprice"], ["o_orderdate", "o_orderkey"]
+    )
+
+
 @_bound
 def metric_table(spark, folder):
     return _metrics(spark, folder)
@@ -429,7 +441,8 @@ def cross_alerts(spark, folder):
 
 @_bound
 def link_alert_metric(spark, folder):
-    return alerts.link_alert_metric(_alerts(spark, folder), _metrics(spark, folder), metrics.metric_catalog(spark))
+    table = _written_metrics(spark, folder)
+    return alerts.link_alert_metric(_alerts(spark, folder, table), table, metrics.metric_catalog(spark))
 
 
 @_bound

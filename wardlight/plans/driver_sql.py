@@ -378,6 +378,8 @@ for _bucket in ("ate_12h", "12_24h", "mais_24h"):
 
 # Metrics, alerts, findings.
 
+SQL["first_number"] = "SELECT o_totalprice AS number FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 1"
+
 SQL["metric_table"] = _with("metrics", "SELECT * FROM metrics")
 
 SQL["metric_status"] = _with("shown", """

@@ -15,6 +15,7 @@ from wardlight.operators import alerts as alerting
 from wardlight.operators import findings, metrics
 from wardlight.plans.catalog import Query, catalog, find
 from wardlight.schemas import schema
+from wardlight.session import written
 
 
 def query_label(key: str) -> str:
@@ -81,14 +82,13 @@ def snapshot(
 ) -> dict[str, DataFrame]:
     """Run log, metrics, status, alerts and findings of one moment.
 
-    The metrics feed everything else and are ten rows, so they are persisted; the
-    caller may unpersist them.
+    The metrics feed everything else, so they are computed once and written.
     """
     at = moment(as_of)
     run_log = run_catalog(spark, tables, at).withColumns(
         {"as_of": ntz(at), "unit_id": F.lit(unit_id).cast("bigint")}
     )
-    table = snapshot_metrics(tables, at, unit_id).persist()
+    table = written(snapshot_metrics(tables, at, unit_id), "metrics")
     names = metrics.metric_catalog(spark)
     raised = (
         alerting.threshold_alerts(table, alerting.threshold_rules(spark))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Cluster settings.  Adaptive execution sizes the shuffles, splits skewed join
 # partitions even where that costs a further exchange, and the runtime filters
@@ -55,3 +55,15 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="wardlight-")
     return f"{root.rstrip('/')}/wardlight/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` computed once into a table below the shared folder, and read back from there.
+
+    Several later queries can start from it without repeating its work, and it
+    outlives the executors that made it.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
