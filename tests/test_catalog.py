@@ -1,7 +1,7 @@
 from datetime import timedelta
 
 import pytest
-from hospital import AS_OF, at, table, tables, values
+from hospital import AS_OF, at, tables, values
 
 from wardlight import fixed
 from wardlight.plans.catalog import Query, catalog, find

@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from wardlight.plans.driver_queries import QUERIES
 

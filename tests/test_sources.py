@@ -4,7 +4,10 @@ from pathlib import Path
 from hospital import AS_OF, table, tables, values
 from pyspark.sql import functions as F
 
+from wardlight.operators import counting
+from wardlight.plans.catalog import find
 from wardlight.session import shared_folder
+from wardlight.schemas import schema
 from wardlight.sources import sinks
 from wardlight.sources.tables import ingest_table, normalised, read_parquet_tables
 
@@ -31,10 +34,13 @@ def test_text_and_date_filters_reach_ingested_tables(spark, tmp_path):
     rows = [{"cd_atendimento": i, "tp_atendimento": "I", "dt_atendimento": AS_OF} for i in range(3)]
     ingest_table(table(spark, "atendime", rows), "atendime", str(tmp_path), "dt_atendimento")
     read = read_parquet_tables(spark, str(tmp_path), ["atendime"])["atendime"]
-    found = read.filter((F.col("tp_atendimento") == "I") & (F.col("dt_atendimento") >= F.expr("timestamp_ntz'2024-05-01'")))
+    found = counting.in_span(read, "dt_atendimento", "2024-05-01").filter(F.col("tp_atendimento") == "I")
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     assert "EqualTo(tp_atendimento,I)" in plan(found) and "GreaterThanOrEqual(dt_atendimento" in plan(found)
     assert found.count() == 3
+    admitted = find("internados").build({"atendime": read}, AS_OF)
+    assert "(dt_atendimento_month#" in plan(admitted).split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert read.drop("dt_atendimento_month").columns == [f.name for f in schema("atendime")]
 
 
 def test_facts_are_laid_out_by_month(spark, tmp_path):
@@ -42,8 +48,10 @@ def test_facts_are_laid_out_by_month(spark, tmp_path):
     path = str(tmp_path / "facts")
     sinks.write_facts(df, path, "t")
     back = spark.read.parquet(path)
-    assert back.count() == 100 and back.select("month").distinct().count() == 3
-    assert "PartitionFilters: [isnotnull(month" in plan(back.filter("month = '2024-02'"))
+    assert back.count() == 100 and back.select("t_month").distinct().count() == 3
+    kept = counting.in_span(back, "t", "2024-02-01", up_to="2024-02-28")
+    assert "(t_month#" in plan(kept).split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert kept.count() == back.filter("t < '2024-02-28' and t >= '2024-02-01'").count() == 33
 
 
 def plan(df):

@@ -58,10 +58,9 @@ def add_months_eom(day: Column, months: int) -> Column:
     return F.when(F.to_date(day) == F.last_day(day), F.last_day(moved)).otherwise(moved)
 
 
-def within_day(ts: Column, day: datetime | str) -> Column:
-    """True on the calendar day of ``day``, as a half-open range on the column."""
-    start = day_start(day)
-    return (ts >= ntz(start)) & (ts < ntz(start + timedelta(days=1)))
+def month_column(ts: str) -> str:
+    """Name of the column by whose months a table is partitioned (see ``sinks.write_facts``)."""
+    return f"{ts}_month"
 
 
 def day_so_far(ts: Column, as_of: datetime | str) -> Column:

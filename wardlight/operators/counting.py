@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.functions.dates import moment, ntz, within_day
+from wardlight.functions.dates import day_start, moment, month_column, ntz
 from wardlight.functions.text import label_of
 
 
@@ -22,6 +22,31 @@ def kept(df: DataFrame, *conditions: Column | None) -> DataFrame:
     return df
 
 
+def in_span(
+    df: DataFrame, ts: str, start: datetime | str | None = None, before: datetime | str | None = None,
+    up_to: datetime | str | None = None,
+) -> DataFrame:
+    """Rows from ``start`` on, earlier than ``before`` and not later than ``up_to``.
+
+    On a table that is partitioned by the months of ``ts`` the same bounds are
+    put on the partition column, so that other months are not read.
+    """
+    at, partition = F.col(ts), F.col(month_column(ts))
+    partitioned = month_column(ts) in df.columns
+    if start is not None:
+        df = kept(df, at >= ntz(start), partition >= f"{moment(start):%Y-%m}" if partitioned else None)
+    if before is not None:
+        df = kept(df, at < ntz(before), partition <= f"{moment(before):%Y-%m}" if partitioned else None)
+    if up_to is not None:
+        df = kept(df, at <= ntz(up_to), partition <= f"{moment(up_to):%Y-%m}" if partitioned else None)
+    return df
+
+
+def on_day(df: DataFrame, ts: str, day: datetime | str) -> DataFrame:
+    """Rows of the calendar day of ``day``."""
+    return in_span(df, ts, day_start(day), day_start(day) + timedelta(days=1))
+
+
 def counts_by_name(
     counts: DataFrame, lookup: DataFrame, key: str, names: str | Sequence[str],
     keep: Sequence[str] = (), count: str = "qtde",
@@ -51,7 +76,7 @@ def monthly_evolution(
         year = moment(as_of).year
         year_from, year_to = year_from or year, year_to or year
     at = F.col(ts)
-    rows = kept(df, where, at >= ntz(datetime(year_from, 1, 1)), at < ntz(datetime(year_to + 1, 1, 1)))
+    rows = kept(in_span(df, ts, datetime(year_from, 1, 1), datetime(year_to + 1, 1, 1)), where)
     keys = [
         F.date_format(at, "MM/yyyy").alias("competencia"),
         label_of(F.col(category), labels).alias("tp_atendimento"),
@@ -90,7 +115,7 @@ def count_in_period(
     df: DataFrame, ts: str, start: datetime | str, as_of: datetime | str, where: Column | None = None
 ) -> DataFrame:
     """Number of rows from ``start`` up to and including ``as_of``."""
-    rows = kept(df, where, F.col(ts).between(ntz(start), ntz(as_of)))
+    rows = kept(in_span(df, ts, start, up_to=as_of), where)
     return rows.agg(F.count(F.lit(1)).alias("quant"))
 
 
@@ -105,7 +130,7 @@ def monthly_count(
     codes without a label stay two rows.  Rows without a date count under a
     NULL month unless ``since`` or ``where`` excludes them.
     """
-    rows = kept(df, where, None if since is None else F.col(ts) >= ntz(since))
+    rows = kept(in_span(df, ts, since), where)
     counted = rows.groupBy(F.date_format(ts, fmt).alias(month), *dims).agg(F.count(F.lit(1)).alias(count))
     for dim, mapping in (labels or {}).items():
         counted = counted.withColumn(dim, label_of(F.col(dim), mapping))
@@ -117,7 +142,7 @@ def count_by_entity(
     where: Column | None = None, count: str = "qtde",
 ) -> DataFrame:
     """Rows per entity, optionally from ``since`` on."""
-    rows = kept(df, where, None if since is None else F.col(ts) >= ntz(since))
+    rows = kept(df if since is None else in_span(df, ts, since), where)
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias(count))
 
 
@@ -131,7 +156,7 @@ def hourly_arrivals(
     drop other days' events ahead of that count when the day's visits are small
     enough to broadcast.
     """
-    arrived = kept(visits, where, within_day(F.col(ts), day)).select(visit_id, ts)
+    arrived = kept(on_day(visits, ts, day), where).select(visit_id, ts)
     steps = kept(events, None if step is None else F.col(step) == at)
     per_visit = (
         steps.groupBy(visit_id).agg(F.count(F.lit(1)).alias("n"))

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.fixed import COLOURS, NO_COLOUR, VITAL_SIGNS
-from wardlight.functions.dates import ntz, shift_months
+from wardlight.functions.dates import shift_months
 from wardlight.functions.text import joined, label_of
-from wardlight.operators.counting import kept
+from wardlight.operators.counting import in_span, kept
 
 
 def latest_pivot(
@@ -54,9 +54,8 @@ def encounter_summary(
     Vital signs and prescriptions are cut to the chosen encounters by semi
     joins, so the history of other encounters is not aggregated.
     """
-    start = F.col("hr_atendimento") >= ntz(month_start)
-    end = F.col("hr_atendimento") < ntz(shift_months(month_start, months))
-    chosen = kept(tables["atendime"], where, start, end).select(
+    end = shift_months(month_start, months)
+    chosen = kept(in_span(tables["atendime"], "hr_atendimento", month_start, end), where).select(
         "cd_atendimento", "cd_paciente", "cd_prestador", "cd_cid", "hr_atendimento"
     )
     ids = chosen.select("cd_atendimento")

@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardlight.functions.dates import month_of, ntz
+from wardlight.functions.dates import month_of
 from wardlight.functions.text import keyword_class, not_starting_with
-from wardlight.operators.counting import counts_by_name, kept
+from wardlight.operators.counting import counts_by_name, in_span, kept
 
 
 def top_k_by_count(
@@ -43,7 +43,7 @@ def keyword_class_monthly(
 
     The keywords are tried once per lookup row, on already counted keys.
     """
-    rows = kept(df, where, F.col(key).isNotNull(), None if since is None else F.col(ts) >= ntz(since))
+    rows = kept(in_span(df, ts, since), where, F.col(key).isNotNull())
     counted = rows.groupBy(month_of(F.col(ts)).alias("mes"), key).agg(F.count(F.lit(1)).alias("qtde"))
     classes = lookup.select(key, keyword_class(F.col(text), rules, default).alias("classe"))
     return counts_by_name(counted, classes, key, "classe", keep=["mes"])

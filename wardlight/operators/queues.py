@@ -7,8 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.functions.dates import days_before, ntz, within_day
-from wardlight.operators.counting import kept
+from wardlight.functions.dates import days_before
+from wardlight.operators.counting import in_span, kept, on_day
 
 
 def visit_progress(events: DataFrame, visit_id: str, step: str, at: int, later: Column) -> DataFrame:
@@ -37,7 +37,7 @@ def stalled_at_step(
     as no filter lies between them; hence the conditional count at the end.
     """
     progress = visit_progress(events, visit_id, step, at, later)
-    for wanted in (visits.filter(F.col(arrival) >= ntz(since)), require):
+    for wanted in (in_span(visits, arrival, since), require):
         if wanted is not None:
             progress = progress.join(wanted.select(visit_id), visit_id, "left_semi")
     return progress.agg(F.count_if(F.col("reached") & ~F.col("passed")).alias(count))
@@ -48,7 +48,7 @@ def single_event_queue(
     where: Column | None = None,
 ) -> DataFrame:
     """Number of visits of ``day`` that have exactly one event; 0 if there are none."""
-    today = kept(visits, where, within_day(F.col(arrival), day)).select(visit_id)
+    today = kept(on_day(visits, arrival, day), where).select(visit_id)
     counted = (
         events.groupBy(visit_id).agg(F.count(F.lit(1)).alias("n"))
         .join(today, visit_id, "left_semi")
@@ -61,7 +61,7 @@ def frequent_returners(
     where: Column | None = None, count: str = "n",
 ) -> DataFrame:
     """Number of keys with more than ``more_than`` distinct ids in the last ``days`` days."""
-    rows = kept(df, where, F.col(ts) >= ntz(days_before(as_of, days)))
+    rows = kept(in_span(df, ts, days_before(as_of, days)), where)
     return (
         rows.groupBy(key).agg(F.count_distinct(id).alias("ids"))
         .filter(F.col("ids") > more_than)

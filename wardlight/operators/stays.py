@@ -8,8 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.functions.dates import age_years, ntz
-from wardlight.operators.counting import kept
+from wardlight.functions.dates import age_years
+from wardlight.operators.counting import in_span, kept
 from wardlight.operators.waits import duration_totals, mean_days
 
 
@@ -28,8 +28,7 @@ def mean_stay_by_group(
     where: Column | None = None, name: str = "tmp_dias",
 ) -> DataFrame:
     """Mean days from ``start`` to ``end`` per group, cut to 2 decimals, longest first."""
-    since_end = None if since is None else F.col(end) >= ntz(since)
-    rows = kept(df, where, F.col(end).isNotNull(), since_end)
+    rows = kept(in_span(df, end, since), where, F.col(end).isNotNull())
     return mean_days(duration_totals(rows, [group], start, end), group, name)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight import fixed
-from wardlight.functions.dates import day_so_far, day_start, days_before, month_start, ntz, shift_months
+from wardlight.functions.dates import day_so_far, day_start, days_before, month_start, shift_months
 from wardlight.functions.text import label_of
 from wardlight.operators import aging as ageing
 from wardlight.operators import counting, encounters, pharmacy, queues, stays, waits
@@ -195,8 +195,9 @@ def icu_beds(tables: Tables, as_of: datetime) -> DataFrame:
 
 @_query(ICU, "tmp_por_setor")
 def mean_stay(tables: Tables, as_of: datetime) -> DataFrame:
-    where = (F.col("tp_atendimento") == "I") & (F.col("dt_alta") >= ntz(days_before(day_start(as_of), 30)))
-    per_bed = waits.duration_totals(tables["atendime"], ["cd_leito"], "dt_atendimento", "dt_alta", where)
+    left = counting.in_span(tables["atendime"], "dt_alta", days_before(day_start(as_of), 30))
+    where = F.col("tp_atendimento") == "I"
+    per_bed = waits.duration_totals(left, ["cd_leito"], "dt_atendimento", "dt_alta", where)
     wards = tables["unid_int"].filter("sn_ativo = 'S'").select("cd_unid_int", F.col("ds_unid_int").alias("setor"))
     per_ward = waits.duration_totals_by(per_bed, tables["leito"], "cd_leito", "cd_unid_int")
     return waits.mean_days(waits.duration_totals_by(per_ward, wards, "cd_unid_int", "setor"), "setor")
@@ -230,9 +231,10 @@ def surgery_status(tables: Tables, as_of: datetime) -> DataFrame:
     ).orderBy(F.asc_nulls_last("mes"), F.asc_nulls_last("tp_situacao"))
 
 
-def _performed(tables: Tables, *conditions: Column) -> DataFrame:
+def _performed(tables: Tables, *conditions: Column, since: datetime | None = None) -> DataFrame:
     """Performed surgery notices with their procedures."""
-    notices = counting.kept(tables["aviso_cirurgia"], F.col("tp_situacao") == "R", *conditions)
+    notices = counting.in_span(tables["aviso_cirurgia"], "dt_realizacao", since)
+    notices = counting.kept(notices, F.col("tp_situacao") == "R", *conditions)
     return notices.join(tables["cirurgia_aviso"], "cd_aviso_cirurgia")
 
 
@@ -252,9 +254,7 @@ _GIVEN = "coalesce(sn_cancelado, 'N') = 'N'"
 
 def _items(tables: Tables, since: datetime | None) -> DataFrame:
     """Items that were not cancelled, with their prescription's date, doctor and encounter."""
-    orders = tables["pre_med"]
-    if since is not None:
-        orders = orders.filter(F.col("dt_pre_med") >= ntz(since))
+    orders = counting.in_span(tables["pre_med"], "dt_pre_med", since)
     return tables["itpre_med"].filter(_GIVEN).join(orders, "cd_pre_med")
 
 
@@ -308,7 +308,7 @@ def surgery_duration(tables: Tables, as_of: datetime) -> DataFrame:
 @_query(SHARED, "cirurgias_realizadas_por_porte_12m")
 def surgeries_by_size(tables: Tables, as_of: datetime) -> DataFrame:
     since = shift_months(month_start(as_of), -12)
-    rows = _performed(tables, F.col("dt_realizacao") >= ntz(since), F.col("cd_multi_empresa") == 1)
+    rows = _performed(tables, F.col("cd_multi_empresa") == 1, since=since)
     counted = counting.monthly_count(rows, "dt_realizacao", ["cd_cirurgia"], fmt="MM/yyyy", month="mesano")
     sized = counting.counts_by_name(counted, tables["cirurgia"], "cd_cirurgia", "tp_cirurgia", ["mesano"])
     labelled = sized.select("mesano", label_of(F.col("tp_cirurgia"), fixed.SURGERY_SIZES).alias("porte"), "qtde")

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.functions.dates import month_column
+
 
 def write_facts(df: DataFrame, path: str, ts: str, mode: str = "overwrite") -> None:
-    """Parquet partitioned by month of ``ts``, so date windows read only their months.
+    """Parquet partitioned by ``<ts>_month``; operators with bounds on ``ts`` read only the months they need.
 
     Rebalancing gathers the rows of a small month into one file and, under
     adaptive execution, splits a month that holds most of the rows.
     """
-    rows = df.withColumn("month", F.date_format(ts, "yyyy-MM"))
-    rows.hint("rebalance", "month").write.mode(mode).partitionBy("month").parquet(path)
+    month = month_column(ts)
+    rows = df.withColumn(month, F.date_format(ts, "yyyy-MM"))
+    rows.hint("rebalance", month).write.mode(mode).partitionBy(month).parquet(path)
 
 
 def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, mode: str = "overwrite") -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from wardlight.functions.dates import month_column
 from wardlight.schemas import SOURCE_DDL, schema
 from wardlight.sources.sinks import write_facts
 
@@ -15,7 +16,8 @@ from wardlight.sources.sinks import write_facts
 def normalised(df: DataFrame, table: str | None = None, blank_is_null: bool = True) -> DataFrame:
     """Lower-case column names, empty text as NULL and, for a known table, the declared types.
 
-    Only declared columns are kept, so a wide source table is pruned at the scan.
+    Only declared columns are kept, so a wide source table is pruned at the scan;
+    columns of month partitions stay.
     """
     df = df.toDF(*[c.lower() for c in df.columns])
     fields = schema(table) if table else df.schema
@@ -25,7 +27,8 @@ def normalised(df: DataFrame, table: str | None = None, blank_is_null: bool = Tr
         if blank_is_null and isinstance(field.dataType, StringType):
             column = F.nullif(column, F.lit(""))
         columns.append(column.alias(field.name))
-    return df.select(*columns)
+    months = {month_column(f.name) for f in fields} - {f.name for f in fields}
+    return df.select(*columns, *[c for c in df.columns if c in months])
 
 
 def ingest_table(df: DataFrame, table: str, folder: str, ts: str | None = None, mode: str = "overwrite") -> None:
