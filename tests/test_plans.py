@@ -69,3 +69,19 @@ def test_step_wait_stays_exact_when_the_visits_are_too_many_to_broadcast(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("key", ["fila_recepcao", "fila_triagem", "media_espera_classificacao", "atendimento_por_horario"])
+def test_runtime_filter_cuts_the_event_scan_when_visits_cannot_be_broadcast(spark, key):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        optimized = QUERIES[key](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "might_contain" in optimized
+    finally:
+        for name in settings:
+            spark.conf.unset(name)

@@ -252,9 +252,16 @@ def surgeries_by_type(tables: Tables, as_of: datetime) -> DataFrame:
 _GIVEN = "coalesce(sn_cancelado, 'N') = 'N'"
 
 
-def _items(tables: Tables, since: datetime | None) -> DataFrame:
-    """Items that were not cancelled, with their prescription's date, doctor and encounter."""
+def _items(tables: Tables, since: datetime | None, company: int | None = None) -> DataFrame:
+    """Items that were not cancelled, with their prescription's date, doctor and encounter.
+
+    Prescriptions are cut to the encounters of a company before the far more
+    numerous items are joined.
+    """
     orders = counting.in_span(tables["pre_med"], "dt_pre_med", since)
+    if company is not None:
+        wanted = tables["atendime"].filter(F.col("cd_multi_empresa") == company).select("cd_atendimento")
+        orders = orders.join(wanted, "cd_atendimento")
     return tables["itpre_med"].filter(_GIVEN).join(orders, "cd_pre_med")
 
 
@@ -268,10 +275,7 @@ def items_per_product_month(tables: Tables, as_of: datetime) -> DataFrame:
 
 def _top_20(company: int):
     def build(tables: Tables, as_of: datetime) -> DataFrame:
-        rows = _items(tables, shift_months(day_start(as_of), -12)).join(
-            tables["atendime"].filter(F.col("cd_multi_empresa") == company).select("cd_atendimento"),
-            "cd_atendimento",
-        )
+        rows = _items(tables, shift_months(day_start(as_of), -12), company)
         names = tables["produto"].select("cd_produto", F.col("ds_produto").alias("medicamento"))
         return pharmacy.top_k_by_count(
             rows, "cd_produto", 20, text="ds_itpre_med", exclude_prefixes=fixed.CONDITIONAL_PREFIXES,

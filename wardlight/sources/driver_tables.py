@@ -17,8 +17,6 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.functions.dates import ntz
-
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -81,9 +79,17 @@ class _Lazy(Mapping):
 
 def _arrival():
     """A day of orders becomes two hours of arrivals, spread by price, up to the last order day."""
-    days = F.datediff(F.lit("2001-08-01").cast("date"), F.to_date("o_orderdate"))
-    seconds = F.floor(F.col("o_totalprice") / 100) - days * 7200
-    return F.timestamp_add("SECOND", seconds, ntz(ORDERS_AS_OF))
+    return F.expr(
+        "timestampadd(SECOND, floor(o_totalprice / 100) - datediff(date'2001-08-01', to_date(o_orderdate)) * 7200, "
+        "timestamp_ntz'2001-08-01')"
+    )
+
+
+def _drug():
+    text = "p_name"
+    for noun, name in DRUG_NAMES.items():
+        text = f"replace({text}, '{noun}', '{name}')"
+    return F.expr(text)
 
 
 def _later(ts, seconds):
@@ -99,9 +105,6 @@ def hospital_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]
     doctor = F.floor(F.col("o_custkey") / 15)
     severity = F.substring("o_orderpriority", 1, 1)
     left = F.when(price >= 50000, _later(_arrival(), F.floor(price)))
-    drug = F.col("p_name")
-    for noun, name in DRUG_NAMES.items():
-        drug = F.replace(drug, F.lit(noun), F.lit(name))
     shift = int((EVENTS_AS_OF - HOSPITAL_AS_OF).total_seconds())
     return _Lazy({
         "atendime": lambda: orders().select(
@@ -190,7 +193,7 @@ def hospital_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]
                 "when l_quantity < 30 then 'uso continuo' end"
             ).alias("ds_itpre_med"),
         ),
-        "produto": lambda: parts().select(F.col("p_partkey").alias("cd_produto"), drug.alias("ds_produto")),
+        "produto": lambda: parts().select(F.col("p_partkey").alias("cd_produto"), _drug().alias("ds_produto")),
         "prestador": lambda: raw["supplier"].select(
             F.col("s_suppkey").alias("cd_prestador"), F.col("s_name").alias("nm_prestador")
         ),
