@@ -51,8 +51,9 @@ def encounter_summary(
 ) -> DataFrame:
     """One row per encounter (and triage visit) of a month: patient, doctor, diagnosis, vitals, drugs.
 
-    Vital signs and prescriptions are cut to the chosen encounters by semi
-    joins, so the history of other encounters is not aggregated.
+    Triage visits, vital signs and prescriptions are cut to the chosen encounters
+    by semi joins, so the history of other encounters is neither aggregated nor,
+    if the chosen ones are few, shuffled.
     """
     end = shift_months(month_start, months)
     chosen = kept(in_span(tables["atendime"], "hr_atendimento", month_start, end), where).select(
@@ -76,7 +77,10 @@ def encounter_summary(
         .join(tables["produto"].select("cd_produto", "ds_produto"), "cd_produto")
     )
     drugs = ordered_list(prescribed, "cd_atendimento", "ds_produto", name="medicamentos")
-    triage = tables["triagem_atendimento"].select("cd_atendimento", "cd_cor_referencia", "ds_queixa_principal")
+    triage = (
+        tables["triagem_atendimento"].select("cd_atendimento", "cd_cor_referencia", "ds_queixa_principal")
+        .join(ids, "cd_atendimento", "left_semi")
+    )
     sheet = (
         chosen.join(tables["paciente"].select("cd_paciente", "nm_paciente"), "cd_paciente")
         .join(triage, "cd_atendimento", "left")
