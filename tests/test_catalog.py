@@ -6,7 +6,7 @@ from hospital import AS_OF, at, tables, values
 from wardlight import fixed
 from wardlight.plans.catalog import Query, catalog, find
 from wardlight.plans.runs import query_label, run_catalog, snapshot
-from wardlight.schemas import SOURCE_DDL
+from wardlight.schemas import SOURCE_DDL, schema
 
 TODAY = at("2024-05-15 08:00")
 
@@ -158,5 +158,16 @@ def test_snapshot(spark, data):
     assert (summary.queries, summary.errors, summary.high_alerts) == (34, 0, 1)
 
 
+def test_snapshot_with_annotations(spark, data):
+    notes = spark.createDataFrame([("Centro Cirúrgico", "Cancelamentos elevados", "media", "x" * 600)], schema("alert_notes"))
+    extra = spark.createDataFrame([(1, "UTI", "baixa", "Nova", "texto novo")], schema("alert_additions"))
+    labels = spark.createDataFrame([(1, "obitos_mes", "crítica", "revisada")], schema("run_notes"))
+    result = snapshot(spark, data, AS_OF, alert_notes=notes, extra_alerts=extra, run_notes=labels)
+    assert [(r.titulo, r.problem) for r in result["quarantine"].collect()] == [("Cancelamentos elevados", "descricao")]
+    assert [(r.titulo, r.prioridade) for r in result["alerts"].collect()] == [("Nova", "baixa")]
+    run = result["run_log"].filter("query_key = 'obitos_mes'").first()
+    assert (run.classification, run.summary) == ("crítica", "revisada")
+
+
 def test_every_table_has_a_schema(data):
     assert set(data) == set(SOURCE_DDL) and len(SOURCE_DDL) == 21

@@ -64,7 +64,7 @@ def collection_failure_alerts(run_log: DataFrame, keys: Sequence[str] = SNAPSHOT
     )
 
 
-def contract_problem(strict_area: bool = True) -> Column:
+def contract_problem() -> Column:
     """Name of the first alert field that breaks the alert contract, else NULL."""
 
     def outside(column: str, limits: tuple[int, int]) -> Column:
@@ -72,7 +72,7 @@ def contract_problem(strict_area: bool = True) -> Column:
 
     area_bad = ~F.coalesce(F.col("area").isin(fixed.AREAS), F.lit(False))
     return (
-        F.when(area_bad if strict_area else F.lit(False), "area")
+        F.when(area_bad, "area")
         .when(~F.coalesce(F.col("prioridade").isin(*fixed.PRIORITY_LABELS), F.lit(False)), "prioridade")
         .when(outside("titulo", fixed.TITLE_LENGTH), "titulo")
         .when(outside("descricao", fixed.DESCRIPTION_LENGTH), "descricao")

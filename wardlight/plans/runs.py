@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wardlight import fixed
 from wardlight.functions.dates import moment, ntz
 from wardlight.operators import alerts as alerting
-from wardlight.operators import findings, metrics
+from wardlight.operators import annotations, findings, metrics
 from wardlight.plans.catalog import Query, catalog, find
 from wardlight.schemas import schema
 from wardlight.session import written
@@ -78,10 +78,14 @@ def snapshot_metrics(tables: Mapping[str, DataFrame], as_of: datetime | str, uni
 
 
 def snapshot(
-    spark: SparkSession, tables: Mapping[str, DataFrame], as_of: datetime | str, unit_id: int = 1
+    spark: SparkSession, tables: Mapping[str, DataFrame], as_of: datetime | str, unit_id: int = 1,
+    alert_notes: DataFrame | None = None, extra_alerts: DataFrame | None = None, run_notes: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Run log, metrics, status, alerts and findings of one moment.
 
+    Reviewers' annotations (schemas ``alert_notes``, ``alert_additions`` and
+    ``run_notes``) are merged where given.  Alerts that then break the alert
+    contract go to ``quarantine``.
     The metrics feed everything else, so they are computed once and written.
     """
     at = moment(as_of)
@@ -95,8 +99,19 @@ def snapshot(
         .unionByName(alerting.collection_failure_alerts(run_log))
         .unionByName(alerting.cross_alerts(table))
     )
+    if alert_notes is not None:
+        raised = annotations.annotate_alerts(raised, alert_notes)
+    if extra_alerts is not None:
+        here = {"as_of": ntz(at), "unit_id": F.lit(unit_id).cast("bigint")}
+        raised = annotations.add_alerts(raised, extra_alerts.withColumns(here))
+    checked = alerting.check_alerts(raised)
+    raised = checked.filter("problem is null").drop("problem")
+    classified = findings.classify_runs(run_log)
+    if run_notes is not None:
+        classified = annotations.reclassify_runs(classified, run_notes)
     return {
-        "run_log": findings.classify_runs(run_log),
+        "run_log": classified,
+        "quarantine": checked.filter("problem is not null"),
         "metrics": table,
         "status": metrics.metric_status(table, names),
         "pressure": metrics.area_pressure(table, names),
