@@ -52,7 +52,7 @@ from wardlight.session import written
 LENGTH = 400
 GRAM = 100
 CAP = 4096  # different stretches of an anchor that one task sorts
-TOGETHER = 8192  # stretches that one call of the scan should get
+TOGETHER = 1024  # stretches that one call of the scan should get
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
 _SEGMENT = 1 << 20  # bytes hashed at a time
