@@ -139,13 +139,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
         .select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
+    # ranked before the join, so that the join's own exchange stands alone and a hot text can be split
     same = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.lit(0)))
-    return (
-        rows.select("doc_id", F.sha2("text", 256).alias("text_sha256")).join(groups, "text_sha256", "left")
-        .select(
-            "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256", same.alias("same"),
-        )
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("same") == 1)).drop("same")
-        .select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    ranked = rows.select("doc_id", F.sha2("text", 256).alias("text_sha256")).withColumn("same", same)
+    single = F.col("group_size").isNull()
+    return ranked.join(groups, "text_sha256", "left").select(
+        "doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        ((single | F.col("doc_id").eqNullSafe(F.col("keep_id"))) & (F.col("same") == 1)).alias("kept"), "text_sha256",
     )
