@@ -31,41 +31,42 @@ SYMBOLS = "#*$%&|<>"
 Rule = tuple[str, Column]
 
 
-# Statistics of a text column.  Each is one expression over the text alone.
+# Counts of a text.  A step that reads an array more than once gets it as a column of its
+# own, as Spark does not fold such a column into the step; within one expression it would be
+# evaluated again for each use.
 
-def words(text: Column) -> Column:
-    """The words of a text, in order."""
-    return F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != "")
-
-
-def word_chars(text: Column) -> Column:
-    """Code points outside white space."""
-    return F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long")
+def words(trimmed: Column) -> Column:
+    """The words of a text without white space at its ends, in order."""
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+", -1))
 
 
 def symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{SYMBOLS}]", ""))).cast("long")
 
 
 def lines(text: Column) -> Column:
     """The lines that have a word."""
-    return F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, " \t\x0b\f\r", "")) > 0)
+    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(f"[^{SPACE}]"))
 
 
-def repeated_lines(text: Column) -> Column:
-    """Lines with a word that are equal to an earlier one."""
-    own = lines(text)
-    return (F.size(own) - F.size(F.array_distinct(own))).cast("long")
+def with_window_hashes(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``hashes``, 64-bit hashes of the windows of five words of ``words``.
 
+    Words are hashed once; windows of two, four and five come from those next to each other.
+    """
 
-def window_hashes(own: Column, size: int = WINDOW) -> Column:
-    """64-bit hashes of the windows of ``size`` consecutive words.
+    def pair(a: Column, b: Column) -> Column:
+        return F.xxhash64(a, b)
 
-    The shifted copies are zipped, so that no element looks up another by place.
-    """
-    n = F.greatest(F.size(own) - (size - 1), F.lit(0))
-    shifted = F.arrays_zip(*[F.slice(own, k + 1, n).alias(f"w{k}") for k in range(size)])
-    return F.transform(shifted, lambda w: F.xxhash64(*[w[f"w{k}"] for k in range(size)]))
+    def later(column: str, by: int) -> Column:
+        return F.slice(column, by + 1, F.size("words"))
+
+    ones = rows.withColumn("ones", F.transform("words", lambda w: F.xxhash64(w)))
+    twos = ones.withColumn("twos", F.zip_with("ones", later("ones", 1), pair))
+    fours = twos.withColumn("fours", F.zip_with("twos", later("twos", 2), pair))
+    fives = F.zip_with("fours", later("ones", 4), pair)
+    # the last four stand for windows beyond the end
+    return fours.withColumn("hashes", F.slice(fives, 1, F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))))
 
 
 def placed(hashes: Column) -> Column:
@@ -94,18 +95,19 @@ def covered(places: Column, size: int = WINDOW) -> Column:
     )
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """Every text and its counts; words and hashes are columns of their own, so that no lambda evaluates them again."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    hashed = base.select("doc_id", "text", words(F.col("text")).alias("words")).select(
-        "doc_id", "text", F.size("words").cast("long").alias("n_words"), window_hashes(F.col("words"), size).alias("hashes"))
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every text and its counts."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    trimmed = base.withColumn("trimmed", F.trim("text", F.lit(" \t\n\x0b\f\r")))
+    split = trimmed.withColumn("words", words(F.col("trimmed"))).withColumn("lines", lines(F.col("text"))).drop("trimmed")
+    hashed = with_window_hashes(split).select("doc_id", "text", "words", "lines", "hashes")
     some = F.size("hashes") > F.size(F.array_distinct("hashes"))
-    sorted_ = hashed.select("doc_id", "text", "n_words", F.when(some, placed(F.col("hashes"))).alias("placed"))
-    return sorted_.select(
-        "doc_id", "text", "n_words", word_chars(F.col("text")).alias("word_chars"), symbols(F.col("text")).alias("n_symbols"),
-        repeated_lines(F.col("text")).alias("n_dup_lines"),
-        F.coalesce(covered(repeated_places(F.col("placed")), size), F.lit(0).cast("long")).alias("n_repeat_words"),
+    return hashed.withColumn("placed", F.when(some, placed(F.col("hashes")))).select(
+        "doc_id", "text", F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"), symbols(F.col("text")).alias("n_symbols"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(covered(repeated_places(F.col("placed")), WINDOW), F.lit(0).cast("long")).alias("n_repeat_words"),
     )
 
 
@@ -130,10 +132,14 @@ def measured(sample: DataFrame, rules: list[Rule]) -> list[tuple[str, float, flo
     return out
 
 
-def ordered(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", sample: int = SAMPLE) -> list[Rule]:
-    """Rules by rejections per cost on the sample, the best first; equal ones as given."""
-    drawn = written(docs.orderBy(F.xxhash64(id_col), id_col).limit(sample), "sample")
-    rate = {name: share / cost for name, cost, share in measured(drawn, rules)}
+def draw(docs: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+    """A bounded sample: the rows whose ids have the least hashes."""
+    return written(docs.orderBy(F.xxhash64(id_col), id_col).limit(sample), "sample")
+
+
+def ordered(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """Rules by rejections per cost on a written sample, the best first; equal ones as given."""
+    rate = {name: share / cost for name, cost, share in measured(sample, rules)}
     return sorted(rules, key=lambda r: -rate[r[0]])
 
 
@@ -142,23 +148,24 @@ def first_failed(rules: list[Rule]) -> Column:
     return reduce(lambda rest, rule: F.when(F.coalesce(rule[1], F.lit(False)), F.lit(rule[0])).otherwise(rest), reversed(rules), F.lit(None).cast("string"))
 
 
-def cascade(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``failed_rule`` and ``kept``; an existing column of either name is replaced."""
-    failed = first_failed(ordered(docs, rules, id_col, sample))
-    return docs.withColumn("failed_rule", failed).withColumn("kept", F.col("failed_rule").isNull())
+def cascade(docs: DataFrame, rules: list[Rule], sample: DataFrame) -> DataFrame:
+    """``docs`` with ``failed_rule`` and ``kept``; an existing column of either name is replaced.
+
+    ``sample`` has the columns that the rules read, for rows drawn from ``docs``.
+    """
+    return docs.withColumn("failed_rule", first_failed(ordered(sample, rules))).withColumn("kept", F.col("failed_rule").isNull())
 
 
-def text_rules(text: Column) -> list[Rule]:
-    """Rules on a text column alone, each with its own cost.
+def text_rules() -> list[Rule]:
+    """Rules on a text and its counts.
 
     Limits: words of 2 to 20 characters on average; at most a symbol in ten
     characters; at most 30 % repeated lines; at least half of the characters letters.
     """
-    n = F.size(words(text))
     return [
-        ("short_words", word_chars(text) < 2 * n),
-        ("long_words", word_chars(text) > 20 * n),
-        ("symbols", 10 * symbols(text) > word_chars(text)),
-        ("repeated_lines", 10 * repeated_lines(text) > 3 * F.size(lines(text))),
-        ("few_letters", 2 * F.length(F.regexp_replace(text, r"\P{L}+", "")) < word_chars(text)),
+        ("few_letters", 2 * F.length(F.regexp_replace("text", r"\P{L}+", "")) < F.col("word_chars")),
+        ("short_words", F.col("word_chars") < 2 * F.col("n_words")),
+        ("long_words", F.col("word_chars") > 20 * F.col("n_words")),
+        ("symbols", 10 * F.col("n_symbols") > F.col("word_chars")),
+        ("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines")),
     ]

@@ -20,6 +20,7 @@ from wardlight.llm import (
     token_count,
     url_filter,
 )
+from wardlight.session import written
 from wardlight.sources.driver_tables import driver_table
 
 # The rules of the url query: host and path, and whether they allow.
@@ -77,10 +78,11 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
-    counts = quality.statistics(documents(spark, folder))
+    docs = documents(spark, folder)
+    counts = quality.statistics(docs)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    text = documents(spark, folder).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rules = quality.ordered(text, quality.text_rules(F.col("text")))
+    sample = written(quality.statistics(quality.draw(docs)), "counts")
+    rules = quality.ordered(sample, quality.text_rules())
     return counts.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"),
         F.when(base, F.lit(False)).otherwise(quality.first_failed(rules).isNull()).alias("kept"),
