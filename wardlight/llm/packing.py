@@ -46,7 +46,7 @@ END = 2
 
 AT_ONCE = 1 << 20  # characters whose words are looked up together
 JOINED = 4096  # new words encoded in one call
-KEPT = 600_000  # words whose ids a task keeps
+KEPT = 500_000  # words whose ids a task keeps
 _WORDS = re.compile("[^ \t\n\r]+")
 
 # Fixed value: the split pattern of the vocabulary.

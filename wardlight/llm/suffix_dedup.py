@@ -55,7 +55,7 @@ CAP = 4096  # different stretches of an anchor that one task sorts
 TOGETHER = 1024  # stretches that one call of the scan should get
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
-_SEGMENT = 1 << 20  # bytes hashed at a time
+_SEGMENT = 1 << 18  # bytes hashed at a time
 _WORD = (1 << 64) - 1
 _LOW = np.uint64((1 << 22) - 1)  # place in the segment, in the low bits of a hash
 
