@@ -36,9 +36,13 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def same_key(left: DataFrame, right: DataFrame) -> Column:
-    """Join condition on ``KEY``; null ids are equal."""
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
+def drawn(rank: Column, rows: int | Column, wanted: int) -> Column:
+    """Whether a row may be in a sample of about ``wanted`` of ``rows`` rows, by its 64-bit ``rank``.
+
+    Four times as many pass, so that a sample by least rank is cut from few rows
+    however many partitions there are.
+    """
+    return F.shiftrightunsigned(rank, 11) * F.lit(1.0) * rows < F.lit(4.0 * wanted * (1 << 53))
 
 
 def on_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:

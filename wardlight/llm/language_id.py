@@ -7,9 +7,9 @@ its own content, and the language whose blocks are smallest in total wins.  The
 score is the relative margin to the second; below ``MARGIN`` the text is rejected
 (``accepted`` false), though the query still names its best guess.
 
-Bounds: ``SAMPLE_ROWS`` rows per language (those whose ids have the least hashes),
+Bounds: ``SAMPLE_ROWS`` rows per language (those whose ids and texts have the least hashes),
 ``SAMPLE_BYTES`` bytes of each, ``DICTIONARY`` bytes of dictionary, and at most
-``LANGUAGES`` languages, the most frequent (checked: more raise an error).
+``LANGUAGES`` languages (checked: more raise an error).
 
 Nulls and edges: a null text, or one without a letter, is ``und`` with score 0
 and not accepted; with no labelled rows at all every text is ``und``; with a
@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardlight.llm.common import drawn
+
 SAMPLE_ROWS = 256
 SAMPLE_BYTES = 1024
 DICTIONARY = 112 * 1024
@@ -67,10 +69,16 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     labels = labelled.groupBy(F.col(lang_col).alias("lang")).count().limit(LANGUAGES + 1).collect()
     if len(labels) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
+    if not labels:
+        return {}
+    # ranked by id and text; of a frequent language only the few rows of low rank enter the window
+    counts = F.create_map(*[x for r in labels for x in (F.lit(r["lang"]), F.lit(r["count"]))])
+    rank = F.xxhash64(id_col, text_col)
     order = Window.partitionBy("lang").orderBy("rank", "id")
-    ids = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("rank"))
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_ROWS).select("id", "lang").distinct()
-    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    ids = labelled.where(drawn(rank, counts[F.col(lang_col)], SAMPLE_ROWS)).select(
+        F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.shiftrightunsigned(rank, 11).alias("rank"))
+    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_ROWS).select("id", "lang", "rank").distinct()
+    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.shiftrightunsigned(rank, 11).alias("rank"), F.col(text_col).alias("text"))
 
     @F.pandas_udf("binary")
     def slice_(t: pd.Series) -> pd.Series:
@@ -78,11 +86,12 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     rows = (
         # at most SAMPLE_ROWS ids for each of LANGUAGES languages, so the broadcast is bounded
-        texts.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "id", slice_("text").alias("part"))
-        .dropDuplicates(["lang", "id"]).collect()
+        texts.join(F.broadcast(chosen), texts["id"].eqNullSafe(chosen["id"]) & (texts["lang"] == chosen["lang"]) & (texts["rank"] == chosen["rank"]))
+        .select(texts["lang"], texts["id"], texts["rank"], slice_("text").alias("part"))
+        .dropDuplicates(["lang", "id", "rank"]).collect()
     )
     out: dict[str, bytes] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["id"] is not None, r["id"])):
+    for row in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
         out[row["lang"]] = out.get(row["lang"], b"") + bytes(row["part"]) + b"\n"
     return {lang: text[-DICTIONARY:] for lang, text in out.items()}
 

@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardlight.llm.common import drawn
 from wardlight.session import written
 
 SAMPLE = 1000  # rows of the sample, those whose ids have the least hashes
@@ -132,9 +133,10 @@ def measured(sample: DataFrame, rules: list[Rule]) -> list[tuple[str, float, flo
     return out
 
 
-def draw(docs: DataFrame, id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """A bounded sample: the rows whose ids have the least hashes."""
-    return written(docs.orderBy(F.xxhash64(id_col), id_col).limit(sample), "sample")
+def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """A bounded sample: the rows whose ids and texts have the least hashes."""
+    rank = F.xxhash64(id_col, text_col)
+    return written(docs.where(drawn(rank, docs.count(), sample)).orderBy(rank, id_col).limit(sample), "sample")
 
 
 def ordered(sample: DataFrame, rules: list[Rule]) -> list[Rule]:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import KEY, text_bytes, with_key
+from wardlight.llm.common import KEY, drawn, text_bytes, with_key
 from wardlight.session import written
 
 SHINGLE = 3
@@ -183,7 +183,8 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     depth = max(0, math.ceil(math.log2(max(1, total) / SHARD)))
     trees: list[dict[int, tuple[int, int]]] = [{}, {}]
     if depth:
-        sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
+        rank = F.xxhash64("fp")
+        sample = distinct.select("fp").where(drawn(rank, total, SAMPLE)).orderBy(rank, "fp").limit(SAMPLE).collect()
         points = np.array([r[0] for r in sample], np.int64).view(np.uint64)
         trees = [top_tree(half(points, w), depth, radius) for w in (0, 1)]
     schema = pa.schema([("half", pa.int32()), ("shard", pa.int64()), ("fp", pa.int64())])
