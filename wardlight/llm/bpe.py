@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wardlight.llm.common import KEY, with_key
+from wardlight.llm.common import KEY, sliced, with_key
 
 LONG = 32_768  # characters of a text, and of a piece, that one task encodes
 HALF = 4_096  # characters of unsplit text that are encoded in one call
@@ -190,12 +190,12 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("ids", pa.binary())])
 
     def short(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             ids = [encode_text(path, t) for t in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), part.column(2), pa.array(ids, pa.binary())], schema=schema)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             for doc, text, key, copies in zip(*[c.to_pylist() for c in part.columns], strict=True):
                 at = [(0, True), *cuts(text, long, special_tokens(path))]
                 ends = [a for a, _ in at[1:]] + [len(text)]
@@ -258,7 +258,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def digest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(map(str, range(tokenizer(path).get_vocab_size())))
-        for part in parts:
+        for part in sliced(parts):
             n, ids_sha, text_sha = [], [], []
             for raw in part.column(1).to_pylist():
                 ids = np.frombuffer(raw, np.uint32)

@@ -7,7 +7,7 @@ that repeat both are one row to an operator and get the same result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +67,11 @@ def replaced_text(packed_rows: DataFrame, columns: list[str], text: Column, text
     return packed_rows.select(*out)
 
 
-def batches(columns: dict[str, Iterable], schema: pa.Schema, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Columns as record batches of at most ``rows`` rows."""
-    table = pa.table([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-    yield from table.to_batches(max_chunksize=rows)
+def sliced(parts: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for part in parts:
+        for begin in range(0, part.num_rows, rows):
+            yield part.slice(begin, rows)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm.bpe import tokenizer
-from wardlight.llm.common import plain
+from wardlight.llm.common import plain, sliced
 
 CAPACITY = 4096
 SHORT = 128
@@ -209,7 +209,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def fill(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        texts = ((p.column(0).to_pylist(), p.column(1).to_pylist()) for p in parts)
+        texts = ((p.column(0).to_pylist(), p.column(1).to_pylist()) for p in sliced(parts))
         for row in packed_rows(texts, path, TaskContext.get().partitionId(), capacity):
             rows.append(row)
             size += len(row[-1])

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import KEY, drawn, text_bytes, with_key
+from wardlight.llm.common import KEY, drawn, sliced, text_bytes, with_key
 from wardlight.session import written
 
 SHINGLE = 3
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fp", pa.int64())])
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             fps = np.array([fingerprint(t, shingle) for t in text_bytes(part.column(1))], np.uint64)
             yield pa.record_batch([part.column(0), part.column(2), pa.array(fps.view(np.int64))], schema=schema)
 

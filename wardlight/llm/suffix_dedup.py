@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlight.llm.common import KEY, merged, on_key, packed, replaced_text, text_bytes, with_key
+from wardlight.llm.common import KEY, merged, on_key, packed, replaced_text, sliced, text_bytes, with_key
 from wardlight.session import written
 
 LENGTH = 400
@@ -209,7 +209,7 @@ def find_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
     schema = pa.schema([(c.split()[0], t) for c, t in zip(ANCHORS.split(", "), types, strict=True)])
 
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             out: list[tuple] = []
             for doc, key, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), text_bytes(part.column(2)), strict=True):
                 if len(raw) >= length:
@@ -236,7 +236,7 @@ def fetch(rows: DataFrame, stretches: DataFrame) -> DataFrame:
     places = stretches.groupBy(*KEY).agg(F.collect_list(F.struct("a", "c1", "c2", "lo", "off", "size", "stretches")).alias("places"))
 
     def slice_(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             out = []
             for raw, own in zip(text_bytes(part.column(0)), part.column(1).to_pylist(), strict=True):
                 out += [(p["a"], p["c1"], p["c2"], p["off"], p["stretches"], raw[p["lo"] : p["lo"] + p["size"]]) for p in own]
@@ -323,7 +323,7 @@ def suffix_dedup(
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def cut_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in sliced(parts):
             raws = text_bytes(part.column(1))
             out = [cut(raw, own) for raw, own in zip(raws, part.column(2).to_pylist(), strict=True)]
             yield pa.record_batch([

@@ -30,7 +30,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from wardlight.llm.common import plain
+from wardlight.llm.common import plain, sliced
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the library
@@ -125,7 +125,7 @@ def token_count(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counted(path)
-        for part in parts:
+        for part in sliced(parts):
             texts = part.column(1).to_pylist()
             yield pa.record_batch([
                 part.column(0), pa.array(np.array([own.text(t) for t in texts], np.int64)),
