@@ -1,11 +1,14 @@
+import dataclasses
 from datetime import timedelta
 
 import pytest
 from hospital import AS_OF, at, tables, values
 
 from wardlight import fixed
+from wardlight.operators import annotations
+from wardlight.plans import runs
 from wardlight.plans.catalog import Query, catalog, find
-from wardlight.plans.runs import query_label, run_catalog, snapshot
+from wardlight.plans.runs import METRIC_SOURCES, query_label, run_catalog, snapshot
 from wardlight.schemas import SOURCE_DDL, schema
 
 TODAY = at("2024-05-15 08:00")
@@ -76,13 +79,13 @@ def data(spark):
 
 
 EXPECTED = {
-    "evolucao_atendimentos_internacao": [],
+    "evolucao_atendimentos_internacao": [("05/2024", "Internação", 3)],
     "evolucao_atendimentos_externos": [],
     "evolucao_atendimentos_ambulatorio": [],
     "internacao_e_altas": [(1, "Internados Hoje", 1), (2, "Altas Hospitalar", 1), (3, "Altas Médicas", 1),
                            (4, "Previsão de Altas", 2), (5, "Previsão de Altas com Atraso", 1)],
     "obitos_mes": [("2024-05", 1)],
-    "evolucao_atendimentos_urgencia": [],
+    "evolucao_atendimentos_urgencia": [("05/2024", "Urgência", 2)],
     "fila_recepcao": [(1,)],
     "fila_triagem": [(1,)],
     "fila_atendimento_medico": [(0,)],
@@ -158,6 +161,44 @@ def test_snapshot(spark, data):
     assert (summary.queries, summary.errors, summary.high_alerts) == (34, 0, 1)
 
 
+@pytest.mark.parametrize("key", sorted(METRIC_SOURCES.values()))
+def test_snapshot_survives_a_failing_query(spark, data, key, monkeypatch):
+    """The run log, the failure's alert and the other metrics come back; the lost ones are unknown, not 0."""
+    real = runs.catalog()
+
+    def broken(tables, as_of):
+        raise RuntimeError("source is gone")
+
+    query = next(q for q in real if q.key == key)
+    bad = dataclasses.replace(query, build=broken)
+    monkeypatch.setattr(runs, "catalog", lambda: [bad if q.key == key else q for q in real if q.key in METRIC_SOURCES.values()])
+    monkeypatch.setattr(runs, "find", lambda k: next(q for q in runs.catalog() if q.key == k))
+    result = snapshot(spark, data, AS_OF)
+    errors = {r.query_key: r.error for r in result["run_log"].collect() if r.error}
+    assert set(errors) == {key}
+    figures = {r.metric: r.value for r in result["metrics"].collect()}
+    lost = {m for m, v in figures.items() if v is None}
+    assert len(figures) == 10 and lost and lost == {
+        "internacao_e_altas": {"ocupacao_percent"}, "obitos_mes": {"obitos_mes_atual"},
+        "fila_recepcao": {"fila_total", "tempo_medio_espera_min"}, "fila_triagem": {"fila_total", "tempo_medio_espera_min"},
+        "internados": {"ocupacao_uti_percent", "pacientes_criticos"},
+        "cirurgias_status_mes": {"cirurgias_atrasadas", "taxa_cancelamento_percent"},
+        "medicamentos_alto_risco": {"itens_alto_risco_baixo"},
+    }[key]
+    assert result["alerts"].count() >= 1 and result["summary"].first().errors == 1
+    states = {r.metric: r.status for r in result["status"].collect()}
+    assert all(states[m] == fixed.STATUS_UNKNOWN for m in lost)
+
+
+def test_two_notes_for_one_alert_give_one_alert(spark):
+    rows = [(None, 1, "UTI", "alta", "UTI em lotação", "texto", None)]
+    found = spark.createDataFrame(rows, schema("alerts"))
+    notes = spark.createDataFrame([("UTI", "UTI em lotação", "media", "primeira", 1), ("UTI", "UTI em lotação", "baixa", "segunda", 2)],
+                                  "area string, titulo string, prioridade string, descricao_contextual string, seq bigint")
+    got = annotations.annotate_alerts(found, notes).collect()
+    assert [r.prioridade for r in got] == ["baixa"] and got[0].descricao.endswith("segunda")
+
+
 def test_snapshot_with_annotations(spark, data):
     notes = spark.createDataFrame([("Centro Cirúrgico", "Cancelamentos elevados", "media", "x" * 600)], schema("alert_notes"))
     extra = spark.createDataFrame([(1, "UTI", "baixa", "Nova", "texto novo")], schema("alert_additions"))

@@ -1,6 +1,7 @@
 import json
 from pathlib import Path
 
+import pytest
 from hospital import AS_OF, table, tables, values
 from pyspark.sql import functions as F
 
@@ -65,6 +66,35 @@ def test_bucketed_tables_join_without_shuffle(spark):
     assert "Exchange" not in plan(joined) and joined.count() == 1000
 
 
+@pytest.mark.parametrize("key", [
+    "fila_recepcao", "fila_triagem", "fila_medicacao", "media_espera_classificacao", "atendimento_por_horario",
+])
+def test_children_are_pruned_by_their_parents_month(spark, tmp_path, key):
+    """Even with no broadcast and no runtime filter, other months' steps are not read; the rows are the same."""
+    from wardlight.sources.driver_tables import HOSPITAL_AS_OF, hospital_tables
+
+    raw = hospital_tables(spark, "/root/testdata/sf0.001")
+    visits, children = raw["triagem_atendimento"], ("sacr_tempo_processo", "sacr_pendencia_sala")
+    ingest_table(visits, "triagem_atendimento", str(tmp_path), "dh_pre_atendimento")
+    for child in children:
+        ingest_table(raw[child], child, str(tmp_path), "dh_pre_atendimento", parent=visits, key="cd_triagem_atendimento")
+    stored = read_parquet_tables(spark, str(tmp_path), ["triagem_atendimento", *children])
+    assert all(stored[c].count() == raw[c].count() for c in children)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        built = find(key).build({**raw, **stored}, HOSPITAL_AS_OF)
+        scans = [x for x in plan(built).splitlines() if "FileScan" in x and "cd_tipo_tempo_processo" in x or "FileScan" in x and "sacr_tempo_processo" in x]
+        assert scans and all("PartitionFilters: [isnotnull(dh_pre_atendimento_month" in x for x in scans if "dh_pre_atendimento_month" in x)
+        assert any("dh_pre_atendimento_month" in x for x in scans)
+        assert built.collect() == find(key).build(raw, HOSPITAL_AS_OF).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_alerts_as_json(spark, tmp_path):
     df = spark.createDataFrame(
         [(AS_OF, 1, "UTI", "alta", "UTI em lotação", "Ocupação UTI em 93.0%", AS_OF)],
@@ -72,7 +102,7 @@ def test_alerts_as_json(spark, tmp_path):
     )
     sinks.write_alerts_json(df, str(tmp_path / "alerts"))
     line = json.loads("".join(f.read_text() for f in Path(tmp_path / "alerts").glob("*.json")))
-    assert line == {"area": "UTI", "prioridade": "alta", "titulo": "UTI em lotação", "descricao": "Ocupação UTI em 93.0%",
+    assert line == {"as_of": "2024-05-15T12:00:00.000000Z", "unit_id": 1, "area": "UTI", "prioridade": "alta", "titulo": "UTI em lotação", "descricao": "Ocupação UTI em 93.0%",
                     "timestamp": "2024-05-15T12:00:00.000000Z"}
 
 

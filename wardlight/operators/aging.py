@@ -42,7 +42,8 @@ def aging(
     kept_columns = [c.alias(n) for n, c in columns.items()] if isinstance(columns, Mapping) else list(columns)
     hours = (F.call_function("div", age * F.lit(100), F.lit(MICROS_PER_HOUR)) / F.lit(100.0)).alias("horas_em_aberto")
     aged = rows.select(*kept_columns, hours, chain.alias("bucket")).filter("bucket is not null")
-    return aged.orderBy(F.desc_nulls_first("horas_em_aberto"))
+    # equal ages go by the other columns, so that one instant's rows need not lie in one range
+    return aged.orderBy(F.desc_nulls_first("horas_em_aberto"), *[c for c in aged.columns if c != "horas_em_aberto"])
 
 
 def _all(conditions: Sequence[Column]) -> Column:

@@ -15,16 +15,19 @@ def annotate_alerts(alerts: DataFrame, notes: DataFrame, keys: Sequence[str] = S
     """Apply a priority and a context note to the alerts they name; no alert is removed.
 
     ``notes`` has (keys that it shares with the alerts, area, titulo,
-    prioridade, descricao_contextual) with one row per alert.  Unknown
-    priorities and blank notes are ignored.
+    prioridade, descricao_contextual, and ``seq`` if there is an order).  Of
+    several notes for one alert the last counts, or else the greatest in text
+    order.  Unknown priorities and blank notes are ignored.  All kinds of alerts
+    can be annotated.
     """
     on = [k for k in keys if k in notes.columns] + ["area", "titulo"]
     given = notes.select(
-        *on,
+        *on, (F.col("seq") if "seq" in notes.columns else F.lit(0)).alias("seq"),
         F.when(F.col("prioridade").isin(*fixed.PRIORITY_LABELS), F.col("prioridade")).alias("new_priority"),
         F.nullif(F.trim("descricao_contextual"), F.lit("")).alias("note"),
     )
-    joined = alerts.join(given, on, "left")
+    last = given.groupBy(*on).agg(F.max(F.struct("seq", "new_priority", "note")).alias("last"))
+    joined = alerts.join(last.select(*on, "last.new_priority", "last.note"), on, "left")
     changed = {
         "prioridade": F.coalesce("new_priority", "prioridade"),
         "descricao": F.when(F.col("note").isNull(), F.col("descricao")).otherwise(
@@ -50,8 +53,8 @@ def add_alerts(alerts: DataFrame, additions: DataFrame, keys: Sequence[str] = SN
     )
     name = [*keys, "area", "titulo"]
     first = cleaned.groupBy(*name).agg(
-        F.min_by("prioridade", "seq").alias("prioridade"), F.min_by("descricao", "seq").alias("descricao")
-    )
+        F.min(F.struct("seq", "prioridade", "descricao")).alias("first")
+    ).select(*name, "first.prioridade", "first.descricao")
     new = first.join(alerts.select(*name), name, "left_anti")
     stamp = F.col("as_of") if "as_of" in keys else F.lit(None).cast("timestamp_ntz")
     return alerts.unionByName(new.withColumn("timestamp", stamp).select(*alerts.columns))
@@ -72,8 +75,8 @@ def reclassify_runs(classified: DataFrame, notes: DataFrame, keys: Sequence[str]
         & (F.length("summary") >= fixed.DESCRIPTION_LENGTH[0])
     )
     last = valid.groupBy(*name).agg(
-        F.max_by("classification", "seq").alias("new_class"), F.max_by("summary", "seq").alias("new_summary")
-    )
+        F.max(F.struct("seq", "classification", "summary")).alias("last")
+    ).select(*name, F.col("last.classification").alias("new_class"), F.col("last.summary").alias("new_summary"))
     joined = classified.join(last, name, "left")
     changed = {
         "classification": F.coalesce("new_class", "classification"),

@@ -31,15 +31,29 @@ def in_span(
     On a table that is partitioned by the months of ``ts`` the same bounds are
     put on the partition column, so that other months are not read.
     """
-    at, partition = F.col(ts), F.col(month_column(ts))
-    partitioned = month_column(ts) in df.columns
-    if start is not None:
-        df = kept(df, at >= ntz(start), partition >= f"{moment(start):%Y-%m}" if partitioned else None)
-    if before is not None:
-        df = kept(df, at < ntz(before), partition <= f"{moment(before):%Y-%m}" if partitioned else None)
-    if up_to is not None:
-        df = kept(df, at <= ntz(up_to), partition <= f"{moment(up_to):%Y-%m}" if partitioned else None)
-    return df
+    at = F.col(ts)
+    df = months_in_span(df, ts, start, before if up_to is None else up_to)
+    return kept(
+        df, None if start is None else at >= ntz(start), None if before is None else at < ntz(before),
+        None if up_to is None else at <= ntz(up_to),
+    )
+
+
+def months_in_span(
+    df: DataFrame, ts: str, start: datetime | str | None = None, end: datetime | str | None = None,
+) -> DataFrame:
+    """Only the month partitions of ``ts`` from that of ``start`` to that of ``end``; all rows without such partitions.
+
+    A child table that was stored by the months of its parent's date has the
+    partition column but not the date; its rows belong to parents of those months.
+    """
+    if month_column(ts) not in df.columns:
+        return df
+    month = F.col(month_column(ts))
+    return kept(
+        df, None if start is None else month >= f"{moment(start):%Y-%m}",
+        None if end is None else month <= f"{moment(end):%Y-%m}",
+    )
 
 
 def on_day(df: DataFrame, ts: str, day: datetime | str) -> DataFrame:
@@ -157,6 +171,7 @@ def hourly_arrivals(
     enough to broadcast.
     """
     arrived = kept(on_day(visits, ts, day), where).select(visit_id, ts)
+    events = months_in_span(events, ts, day, day)
     steps = kept(events, None if step is None else F.col(step) == at)
     per_visit = (
         steps.groupBy(visit_id).agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ computed in the same job.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,6 +60,7 @@ def _admissions(row: Mapping[str, Column]) -> dict[str, Column]:
 
 
 _CONTRIBUTIONS = {
+    "snapshot": lambda row: {},
     "period_indicators": _admissions,
     "deaths": lambda row: {"deaths": _placed(row["mes_ano"], row["qtd_obitos"])},
     "reception_queue": lambda row: {"reception": row["n"].cast("double")},
@@ -73,6 +74,14 @@ _CONTRIBUTIONS = {
 }
 
 
+# The parts that each result contributes.
+_PARTS = {
+    "period_indicators": ("admitted", "discharged"), "deaths": ("deaths",), "reception_queue": ("reception",),
+    "triage_queue": ("triage",), "admitted_now": ("admitted_now",), "surgery_status": ("surgeries", "late"),
+    "product_months": ("low_items",),
+}
+
+
 # How the contributions of a snapshot are put together.
 def _merged(newest_deaths: bool) -> dict[str, Column]:
     deaths = F.max("deaths") if newest_deaths else F.min("deaths")
@@ -88,6 +97,7 @@ def _merged(newest_deaths: bool) -> dict[str, Column]:
 def metric_table(
     results: Mapping[str, DataFrame], keys: Sequence[str] = SNAPSHOT, beds: int = fixed.ICU_BEDS,
     critical_share: float = fixed.CRITICAL_SHARE, newest_deaths: bool = False,
+    failed: Collection[str] = (),
 ) -> DataFrame:
     """The ten metrics of every snapshot that occurs in some operator result.
 
@@ -95,7 +105,9 @@ def metric_table(
     carry the snapshot keys.  All their rows meet in one union and one aggregate
     (one shuffle, combined on the map side), without joins.  A snapshot without
     rows of some result gets 0 for it.  The death count is that of the oldest
-    month listed, or of the newest with ``newest_deaths``.
+    month listed, or of the newest with ``newest_deaths``.  The metrics of a result
+    named in ``failed`` are NULL, not 0; a result ``snapshot`` of the keys alone
+    makes sure that the snapshot is there.
     """
     union: DataFrame | None = None
     for name, result in results.items():
@@ -103,8 +115,10 @@ def metric_table(
         parts = [column.alias(part) for part, column in _CONTRIBUTIONS[name](row).items()]
         rows = result.select(*keys, *parts)
         union = rows if union is None else union.unionByName(rows, allowMissingColumns=True)
+    unknown = {part for name in failed for part in _PARTS[name]}
     filled = union.groupBy(*keys).agg(*[
-        (F.coalesce(column, F.lit(0.0)) if part in union.columns else F.lit(0.0)).alias(part)
+        (F.lit(None).cast("double") if part in unknown
+         else F.coalesce(column, F.lit(0.0)) if part in union.columns else F.lit(0.0)).alias(part)
         for part, column in _merged(newest_deaths).items()
     ])
     col = F.col
@@ -116,12 +130,13 @@ def metric_table(
     late_share = F.when(col("surgeries") == 0, 0.0).otherwise(
         python_round(F.try_divide("late", "surgeries") * 100, 2)
     )
+    known = F.when(col("admitted").isNotNull() & col("discharged").isNotNull(), occupancy)
     values = [
-        ("Diretoria", "ocupacao_percent", occupancy),
+        ("Diretoria", "ocupacao_percent", known),
         ("Diretoria", "obitos_mes_atual", col("deaths")),
         ("Enfermagem", "fila_total", queue),
-        ("Enfermagem", "tempo_medio_espera_min", wait),
-        ("UTI", "ocupacao_uti_percent", icu),
+        ("Enfermagem", "tempo_medio_espera_min", F.when(queue.isNotNull(), wait)),
+        ("UTI", "ocupacao_uti_percent", F.when(col("admitted_now").isNotNull(), icu)),
         ("UTI", "pacientes_criticos", python_round(col("admitted_now") * critical_share, 0)),
         ("Centro Cirúrgico", "cirurgias_atrasadas", col("late")),
         ("Centro Cirúrgico", "taxa_cancelamento_percent", late_share),

@@ -62,6 +62,6 @@ def prescription_detail(
         .join(products.select(product_id, F.col(product).alias("medicamento")), product_id)
         .join(prescribers.select(prescriber_id, F.col(prescriber).alias("medico")), prescriber_id)
     )
-    return joined.orderBy(F.desc_nulls_first(ts)).select(
+    return joined.orderBy(F.desc_nulls_first(ts), order_id, item_id).select(
         F.date_format(ts, "dd/MM/yyyy").alias("data_prescricao"), order_id, item_id, "medicamento", "medico"
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.functions.dates import days_before
-from wardlight.operators.counting import in_span, kept, on_day
+from wardlight.operators.counting import in_span, kept, months_in_span, on_day
 
 
 def visit_progress(events: DataFrame, visit_id: str, step: str, at: int, later: Column) -> DataFrame:
@@ -36,6 +36,8 @@ def stalled_at_step(
     Catalyst moves a semi join with a small side below that aggregate, as long
     as no filter lies between them; hence the conditional count at the end.
     """
+    events = months_in_span(events, arrival, since)
+    require = require if require is None else months_in_span(require, arrival, since)
     progress = visit_progress(events, visit_id, step, at, later)
     for wanted in (in_span(visits, arrival, since), require):
         if wanted is not None:
@@ -50,7 +52,7 @@ def single_event_queue(
     """Number of visits of ``day`` that have exactly one event; 0 if there are none."""
     today = kept(on_day(visits, arrival, day), where).select(visit_id)
     counted = (
-        events.groupBy(visit_id).agg(F.count(F.lit(1)).alias("n"))
+        months_in_span(events, arrival, day, day).groupBy(visit_id).agg(F.count(F.lit(1)).alias("n"))
         .join(today, visit_id, "left_semi")
     )
     return counted.agg(F.count_if(F.col("n") == 1).alias("quantidade"))

@@ -31,7 +31,7 @@ from wardlight.functions.dates import (
     ntz,
 )
 from wardlight.functions.numbers import floor_ratio, round_ratio, trunc_ratio, whole
-from wardlight.operators.counting import in_span, kept
+from wardlight.operators.counting import in_span, kept, months_in_span
 
 # Remainders of a minute are cut into slots of 1/64 second.  A running count
 # works inside one slot of one visit, so a visit with very many events is
@@ -140,6 +140,7 @@ def step_wait(
     ``dim`` restricts the events to steps listed in a step table.
     """
     recent = in_span(visits, arrival, since, up_to=until).select(visit_id)
+    events = months_in_span(events, arrival, since, until)
     if dim is not None:
         events = events.join(dim.select(step), step, "left_semi")
     instants = step_instants(events, visit_id, step, ts, from_step, to_step)

@@ -59,14 +59,14 @@ def _inpatients() -> Column:
 # Encounters per month and type.
 
 def _evolution(kind: str, company: int):
-    def build(tables: Tables, as_of: datetime, year_from: int = 2025, year_to: int = 2030) -> DataFrame:
+    def build(tables: Tables, as_of: datetime, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
         where = (
             (F.col("cd_multi_empresa") == company)
             & F.col("cd_atendimento_pai").isNull()
             & (F.col("tp_atendimento") == kind)
         )
         return counting.monthly_evolution(
-            tables["atendime"], "dt_atendimento", "tp_atendimento", fixed.ENCOUNTER_TYPES, where, year_from, year_to
+            tables["atendime"], "dt_atendimento", "tp_atendimento", fixed.ENCOUNTER_TYPES, where, year_from, year_to, as_of
         )
 
     return build

@@ -554,15 +554,9 @@ def check_alerts(spark, folder):
 
 # The catalog.
 
-EVOLUTION_YEARS = (2001, 2001)
-
-
 def _from_catalog(query):
     def build(spark, folder):
-        tables = hospital_tables(spark, folder)
-        if query.key.startswith("evolucao_"):
-            return query.build(tables, HOSPITAL_AS_OF, *EVOLUTION_YEARS)
-        return query.build(tables, HOSPITAL_AS_OF)
+        return query.build(hospital_tables(spark, folder), HOSPITAL_AS_OF)
 
     return build
 

@@ -409,7 +409,7 @@ _ABOUT = {
 }
 SQL["link_alert_metric"] = _with("alerts shown", """
 SELECT a.*, s.metric, coalesce(s.label, 'Contexto geral') AS metric_label,
-       coalesce(s.value_text, 'Sem indicador relacionado') AS metric_value,
+       coalesce(s.value_text, '""" + fixed.NO_METRIC_VALUE + """') AS metric_value,
        coalesce(s.thresholds, 'Sem limite configurado') AS metric_limits,
        CASE a.prioridade WHEN 'alta' THEN 'Alta prioridade' WHEN 'media' THEN 'Prioridade média' ELSE 'Baixa prioridade' END
          AS priority_label
@@ -742,7 +742,7 @@ _COLUMNS = {
 
 def _log_row(area: str, key: str) -> str:
     if key in _EVOLUTIONS:
-        body, columns = _evolution(*_EVOLUTIONS[key], "2025 AND 2030"), "competencia,tp_atendimento,qtd"
+        body, columns = _evolution(*_EVOLUTIONS[key], "2001 AND 2001"), "competencia,tp_atendimento,qtd"
     else:
         body, columns = SQL[key], _COLUMNS[key]
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Collection, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
@@ -56,25 +56,29 @@ def run_catalog(
     return spark.createDataFrame(rows, schema("run_log"))
 
 
-def snapshot_metrics(tables: Mapping[str, DataFrame], as_of: datetime | str, unit_id: int = 1) -> DataFrame:
-    """The metric table of one moment and unit, from seven catalog queries."""
-    at = moment(as_of)
+# The catalog queries that the metrics come from.
+METRIC_SOURCES = {
+    "period_indicators": "internacao_e_altas", "deaths": "obitos_mes", "reception_queue": "fila_recepcao",
+    "triage_queue": "fila_triagem", "admitted_now": "internados", "surgery_status": "cirurgias_status_mes",
+    "product_months": "medicamentos_alto_risco",
+}
+
 
-    def result(key: str, **renamed: str) -> DataFrame:
-        df = find(key).build(tables, at)
-        for new, old in renamed.items():
-            df = df.withColumnRenamed(old, new)
-        return df.withColumns({"as_of": ntz(at), "unit_id": F.lit(unit_id).cast("bigint")})
+def snapshot_metrics(
+    spark: SparkSession, tables: Mapping[str, DataFrame], as_of: datetime | str, unit_id: int = 1,
+    failed: Collection[str] = (),
+) -> DataFrame:
+    """The metric table of one moment and unit, from seven catalog queries.
 
-    return metrics.metric_table({
-        "period_indicators": result("internacao_e_altas"),
-        "deaths": result("obitos_mes"),
-        "reception_queue": result("fila_recepcao", n="qtde_pacientes_fila"),
-        "triage_queue": result("fila_triagem"),
-        "admitted_now": result("internados"),
-        "surgery_status": result("cirurgias_status_mes"),
-        "product_months": result("medicamentos_alto_risco"),
-    })
+    Queries in ``failed`` are not run again; their metrics are NULL.
+    """
+    at = moment(as_of)
+    stamp = {"as_of": ntz(at), "unit_id": F.lit(unit_id).cast("bigint")}
+    results = {"snapshot": spark.range(1).select(*[c.alias(n) for n, c in stamp.items()])}
+    for name, key in METRIC_SOURCES.items():
+        if key not in failed:
+            results[name] = find(key).build(tables, at).withColumnRenamed("qtde_pacientes_fila", "n").withColumns(stamp)
+    return metrics.metric_table(results, failed=[name for name, key in METRIC_SOURCES.items() if key in failed])
 
 
 def snapshot(
@@ -86,13 +90,16 @@ def snapshot(
     Reviewers' annotations (schemas ``alert_notes``, ``alert_additions`` and
     ``run_notes``) are merged where given.  Alerts that then break the alert
     contract go to ``quarantine``.
-    The metrics feed everything else, so they are computed once and written.
+    The metrics feed everything else, so they are computed once and written.  A
+    query that fails is in the run log and raises its alert; the metrics that come
+    from it are NULL and everything else is there.
     """
     at = moment(as_of)
     run_log = run_catalog(spark, tables, at).withColumns(
         {"as_of": ntz(at), "unit_id": F.lit(unit_id).cast("bigint")}
     )
-    table = written(snapshot_metrics(tables, at, unit_id), "metrics")
+    failed = [r.query_key for r in run_log.where("error is not null").select("query_key").collect()]  # of 34 rows at most
+    table = written(snapshot_metrics(spark, tables, at, unit_id, failed), "metrics")
     names = metrics.metric_catalog(spark)
     raised = (
         alerting.threshold_alerts(table, alerting.threshold_rules(spark))

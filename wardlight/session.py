@@ -22,6 +22,8 @@ SETTINGS = {
     "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 # Further ones for a cluster: shuffles start fine-grained and are merged to the

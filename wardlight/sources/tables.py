@@ -10,7 +10,7 @@ from pyspark.sql.types import StringType
 
 from wardlight.functions.dates import month_column
 from wardlight.schemas import SOURCE_DDL, schema
-from wardlight.sources.sinks import write_facts
+from wardlight.sources.sinks import write_facts, write_months
 
 
 def normalised(df: DataFrame, table: str | None = None, blank_is_null: bool = True) -> DataFrame:
@@ -27,15 +27,27 @@ def normalised(df: DataFrame, table: str | None = None, blank_is_null: bool = Tr
         if blank_is_null and isinstance(field.dataType, StringType):
             column = F.nullif(column, F.lit(""))
         columns.append(column.alias(field.name))
-    months = {month_column(f.name) for f in fields} - {f.name for f in fields}
+    dates = {f.name for t in SOURCE_DDL for f in schema(t) if f.dataType.typeName().startswith("timestamp")}
+    months = {month_column(d) for d in dates} - {f.name for f in fields}
     return df.select(*columns, *[c for c in df.columns if c in months])
 
 
-def ingest_table(df: DataFrame, table: str, folder: str, ts: str | None = None, mode: str = "overwrite") -> None:
-    """Store a source table as ``folder/<table>``, normalised once, by month of ``ts`` if given."""
+def ingest_table(df: DataFrame, table: str, folder: str, ts: str | None = None, mode: str = "overwrite",
+    parent: DataFrame | None = None, key: str | None = None,
+) -> None:
+    """Store a source table as ``folder/<table>``, normalised once, by month of ``ts`` if given.
+
+    With ``parent``, ``ts`` is a date of that table, whose rows are unique by
+    ``key``; the child is stored by the months of its parents' dates, so that a
+    query bounded by the parent's date reads only those months of the child too.
+    Rows without a parent go to a partition of their own.
+    """
     path = f"{folder.rstrip('/')}/{table}"
     rows = normalised(df, table)
-    if ts is None:
+    if parent is not None:
+        dates = normalised(parent).groupBy(key).agg(F.date_format(F.min(ts), "yyyy-MM").alias(month_column(ts)))
+        write_months(rows.join(dates, key, "left"), path, month_column(ts), mode)
+    elif ts is None:
         rows.write.mode(mode).parquet(path)
     else:
         write_facts(rows, path, ts, mode)
