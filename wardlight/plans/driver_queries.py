@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight import fixed
-from wardlight.functions.dates import shift_months
+from wardlight.functions.dates import ntz, shift_months
 from wardlight.operators import aging as ageing
 from wardlight.operators import alerts, annotations, counting, encounters, findings, metrics, pharmacy, queues, stays, waits
 from wardlight.plans.catalog import catalog
-from wardlight.plans.runs import run_catalog
+from wardlight.plans.runs import run_catalog, snapshot_metrics
 from wardlight.session import shared_folder, written
 from wardlight.sources.driver_tables import (
     EVENTS_AS_OF,
@@ -575,6 +575,36 @@ def catalog_run_log(spark, folder):
     )
 
 
+# The metric layer as a snapshot job has it: metrics from seven catalog queries.
+
+def _catalog_table(spark, folder):
+    return snapshot_metrics(spark, hospital_tables(spark, folder), HOSPITAL_AS_OF)
+
+
+@_bound
+def catalog_metrics(spark, folder):
+    return _catalog_table(spark, folder)
+
+
+@_bound
+def catalog_status(spark, folder):
+    return metrics.metric_status(_catalog_table(spark, folder), metrics.metric_catalog(spark))
+
+
+@_bound
+def catalog_alerts(spark, folder):
+    return _alerts(spark, folder, written(_catalog_table(spark, folder), "metrics"))
+
+
+@_bound
+def catalog_findings(spark, folder):
+    """Findings over the run log of the shared area, which they are about, and the catalog's metrics."""
+    shared = [q for q in catalog() if q.area == fixed.AREAS[5]]
+    log = run_catalog(spark, hospital_tables(spark, folder), HOSPITAL_AS_OF, shared)
+    stamp = {"as_of": ntz(HOSPITAL_AS_OF), "unit_id": F.lit(1).cast("bigint")}
+    return findings.cross_findings(log.withColumns(stamp), _catalog_table(spark, folder))
+
+
 # Streams: replays of the event file, written below the shared folder and read back.
 
 def _event_stream(spark, folder):

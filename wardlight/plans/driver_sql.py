@@ -183,19 +183,20 @@ _NEEDS = {
 }
 
 
-def _with(names: str, body: str) -> str:
-    """``body`` preceded by the named table expressions and those they need."""
+def _with(names: str, body: str, given: dict[str, str] | None = None) -> str:
+    """``body`` preceded by the named table expressions and those they need; ``given`` ones stand for others of their name."""
     order: list[str] = []
+    given = given or {}
 
     def visit(name: str) -> None:
-        for needed in _NEEDS.get(name, []):
+        for needed in [] if name in given else _NEEDS.get(name, []):
             visit(needed)
         if name not in order:
             order.append(name)
 
     for name in names.split():
         visit(name)
-    parts = ",\n".join(f"{n} AS ({_CTE[n].strip()})" for n in order)
+    parts = ",\n".join(f"{n} AS ({given.get(n, _CTE[n]).strip()})" for n in order)
     return f"WITH {parts}\n{body.strip()}" if order else body.strip()
 
 
@@ -382,10 +383,11 @@ SQL["first_number"] = "SELECT o_totalprice AS number FROM orders ORDER BY o_orde
 
 SQL["metric_table"] = _with("metrics", "SELECT * FROM metrics")
 
-SQL["metric_status"] = _with("shown", """
+_STATUS = """
 SELECT as_of, unit_id, area, metric, value, label, value_text, thresholds,
        CASE WHEN value > critical THEN 'crítico' WHEN value > warn THEN 'atenção' ELSE 'controlado' END AS status
-FROM shown""")
+FROM shown"""
+SQL["metric_status"] = _with("shown", _STATUS)
 
 SQL["area_pressure"] = _with("shown", """
 SELECT as_of, unit_id, area, score, score = max(score) OVER w AND place = min(CASE WHEN score = top THEN place END) OVER w AS is_top
@@ -444,8 +446,8 @@ LEFT JOIN (SELECT as_of, unit_id, count(*) FILTER (prioridade = 'alta') AS high,
                   count(*) FILTER (prioridade = 'media') AS medium FROM alerts GROUP BY 1, 2) USING (as_of, unit_id)""")
 
 _TITLES = fixed.FINDINGS
-SQL["cross_findings"] = _with("runs wide", """
-, counts AS (
+_FINDINGS = """
+WITH counts AS (
   SELECT as_of, unit_id, queue, low,
          max(row_count) FILTER (query_key = 'medicacao_administrada') AS given,
          max(row_count) FILTER (query_key = 'medicamentos_prescritos_por_medico') AS doctors,
@@ -464,7 +466,8 @@ SQL["cross_findings"] = _with("runs wide", """
         ("idle_wards", "'atenção'", "", "queue < 12 AND low <= 1"),
         ("pressed_wards", "'crítica'", "", "queue > 35 AND low >= 3"),
     ]
-)).replace(")\n, counts", "),\ncounts")
+)
+SQL["cross_findings"] = _with("runs wide", f"SELECT * FROM ({_FINDINGS})")
 
 SQL["merge_annotations_alert"] = _with("alerts sizes", """
 SELECT a.as_of, a.unit_id, a.area,
@@ -753,3 +756,25 @@ def _log_row(area: str, key: str) -> str:
 
 
 SQL["catalog_run_log"] = " UNION ALL ".join(_log_row(q.area, q.key) for q in catalog())
+
+# The snapshot of the catalog: its figures come from seven catalog queries, its run log from those of the shared area.
+
+_SNAPSHOT = {
+    "figures": f"""
+        SELECT TIMESTAMP '2001-07-31 18:00:00' AS as_of, 1::BIGINT AS unit_id,
+               coalesce((SELECT arg_min(qtd_obitos, mes_ano) FROM ({SQL["obitos_mes"]})), 0) AS deaths,
+               (SELECT count(*) FROM ({SQL["medicamentos_alto_risco"]}) WHERE qtde < 10) AS low,
+               coalesce((SELECT arg_max(quant, ord) FROM ({SQL["internacao_e_altas"]}) WHERE indic ILIKE '%internados%'), 0) AS admitted,
+               coalesce((SELECT arg_max(quant, ord) FROM ({SQL["internacao_e_altas"]})
+                         WHERE indic ILIKE '%altas%' AND indic NOT ILIKE '%internados%'), 0) AS discharged,
+               (SELECT qtde_pacientes_fila FROM ({SQL["fila_recepcao"]})) + (SELECT quantidade FROM ({SQL["fila_triagem"]})) AS queue,
+               (SELECT quant FROM ({SQL["internados"]})) AS inside,
+               (SELECT sum(qtde) FROM ({SQL["cirurgias_status_mes"]}) WHERE tp_situacao IN ('A', 'at')) AS late,
+               (SELECT sum(qtde) FROM ({SQL["cirurgias_status_mes"]})) AS surgeries""",
+    "runs": "SELECT TIMESTAMP '2001-07-31 18:00:00' AS as_of, 1::BIGINT AS unit_id, area, query_key, row_count, error FROM ("
+    + " UNION ALL ".join(_log_row(q.area, q.key) for q in catalog() if q.area == "Operações Integradas") + ")",
+}
+SQL["catalog_metrics"] = _with("metrics", "SELECT * FROM metrics", _SNAPSHOT)
+SQL["catalog_status"] = _with("shown", _STATUS, _SNAPSHOT)
+SQL["catalog_alerts"] = _with("alerts", "SELECT * FROM alerts", _SNAPSHOT)
+SQL["catalog_findings"] = _with("runs wide", f"SELECT * FROM ({_FINDINGS})", _SNAPSHOT)
