@@ -101,10 +101,12 @@ def stream_visit_progress(
 def stream_stalled_visits(changes: DataFrame, visit: Sequence[str], since) -> DataFrame:
     """Number of visits since ``since`` that stalled, from the changes written so far.
 
-    Of each visit's changes the one of the latest batch counts.
+    Of each visit's changes the one of the latest batch counts.  A visit arrives on
+    its own day, so earlier days are left out before the grouping.
     """
     state = F.struct("arrival", "reached", "passed")
-    latest = changes.groupBy("day", *visit).agg(F.max_by(state, "batch").alias("state")).select("state.*")
+    recent = changes.where(F.col("day") >= F.to_date(ntz(since)))
+    latest = recent.groupBy("day", *visit).agg(F.max_by(state, "batch").alias("state")).select("state.*")
     waiting = latest.filter((F.col("arrival") >= ntz(since)) & F.col("reached") & ~F.col("passed"))
     return waiting.agg(F.count(F.lit(1)).alias("n"))
 
