@@ -22,7 +22,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(SQL))
 def test_same_rows_as_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark"):
         duck.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -33,7 +33,7 @@ def test_same_rows_as_sql(spark, name):
     assert got == sorted(repr(tuple(r[places[c]] for c in columns)) for r in result.fetchall())
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [q for q in QUERIES if q != "op12_lexical_search"])  # which lists the best only
 def test_every_query_reads_all_rows(spark, name):
     df, table = QUERIES[name](spark, SF), "pages" if name.startswith("op2") else "documents"
     ids = {r[0] for r in df.select(f"{table[:-1] if table == 'pages' else 'doc'}_id").distinct().collect()}

@@ -79,6 +79,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+# A-Z to a-z; every ASCII character that is no digit or letter to a space.
+_PLAIN = bytes(b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
+def plain_words(raw: bytes) -> list[bytes]:
+    """The maximal stretches of digits, letters and bytes outside ASCII, A-Z lower-cased."""
+    return raw.translate(_PLAIN).split()
+
+
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Half-open intervals united into maximal ones, in order."""
     order = np.argsort(starts, kind="stable")

@@ -12,8 +12,11 @@ from wardlight.llm import (
     bpe,
     exact_dedup,
     language_id,
+    lexical_search,
+    license_scan,
     line_dedup,
     packing,
+    periodic_runs,
     quality,
     simhash,
     suffix_dedup,
@@ -89,10 +92,24 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.digests(license_scan.license_scan(documents(spark, folder)))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.schema("item_id bigint, text string").parquet(f"{folder.rstrip('/')}/benchmark.parquet")
+    return lexical_search.lexical_search(documents(spark, folder), items, 50)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    planted = periodic_runs.with_planted_periods(documents(spark, folder))
+    return periodic_runs.digests(periodic_runs.periodic_runs(planted))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_url_filter, op3_suffix_dedup, op4_bpe, op5_packing, op6_simhash, op7_token_count, op8_exact_dedup,
-        op9_language_id, op10_quality,
+        op9_language_id, op10_quality, op11_license_scan, op12_lexical_search, op13_periodic_runs,
     )
 }

@@ -65,4 +65,27 @@ SQL = {
                 and 10 * n_dup_lines <= 3 * n_lines and 2 * length(regexp_replace(text, '\\P{L}', '', 'g')) >= word_chars as kept
         from judged
     """,
+    "op12_lexical_search": """
+        with item_terms as (
+            select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as term
+            from benchmark
+        ),
+        doc_terms as (
+            select rowid as r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as term
+            from (select row_number() over () as rowid, doc_id, text from documents)
+        ),
+        sizes as (select r, count(*) as n from doc_terms group by r),
+        whole as (select count(*) as docs, cast(sum(n) as bigint) as total from sizes),
+        counted as (select r, doc_id, term, count(*) as tf from doc_terms where term in (select term from item_terms) group by r, doc_id, term),
+        weighed as (
+            select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w from counted, whole group by term, docs
+        ),
+        scored as (
+            select i.item_id, c.doc_id, cast(sum(w.w * ((1000000000 * c.tf) // (1000 * c.tf + 20 * (50 + (50 * s.n * o.docs) // o.total)))) as bigint) as score
+            from item_terms i join counted c using (term) join weighed w using (term) join sizes s on s.r = c.r, whole o
+            group by i.item_id, c.r, c.doc_id
+        )
+        select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+        from scored where score > 0 qualify rank <= 50
+    """,
 }
