@@ -1,14 +1,16 @@
 """Streams fed by one file per batch, compared with the batch operators."""
 
 from datetime import datetime, timedelta
+from functools import partial
+from pathlib import Path
 
 import pytest
 from hospital import values
 from pyspark.sql import functions as F
 
-from wardlight.operators import alerts, counting, waits
+from wardlight.operators import alerts, counting, queues, waits
 from wardlight.session import shared_folder
-from wardlight.streaming import jobs
+from wardlight.streaming import jobs, visits
 
 START = datetime(2024, 1, 1)
 KIND = "visit bigint, step int, ts timestamp_ntz"
@@ -57,21 +59,177 @@ def test_hourly_arrivals_drop_late_rows(spark, folder):
 def test_step_wait_matches_batch_on_closed_days(spark, folder):
     rows = [r for batch in BATCHES for r in batch]
     stream = feed(spark, folder, BATCHES)
-    instants = jobs.stream_step_instants(stream, [F.col("visit")], "step", "ts", 1, 11)
+    instants = jobs.stream_step_instants(stream, [F.col("visit")], "step", "ts", 1, 11, window="1 day")
     out, _ = replay(folder, instants, jobs.write_appends, spark)
     events = spark.createDataFrame(rows, KIND).filter(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz"))
     batch = waits.mean_wait(waits.pair_minutes(waits.step_instants(events, "visit", "step", "ts", 1, 11), "visit"), True)
     assert values(jobs.stream_step_wait(out, ["visit"])) == values(batch) == [(38.0, 38.0)]
 
 
+NIGHT = datetime(2024, 1, 1, 23)
+
+
+def after(n):
+    return NIGHT + timedelta(minutes=n)
+
+
+def open_visits(spark, folder, stream, at=12, hours=24, *more):
+    signals = visits.steps(stream, [F.col("visit")], "step", "ts", at, F.col("step") > at, arriving=True)
+    query = visits.keep_state(visits.stream_visits(visits.merged(signals, *more), ["visit"], hours), f"{folder}/checkpoint")
+    query.awaitTermination()
+    return visits.visit_states(spark, f"{folder}/checkpoint"), query
+
+
+def stalled_in_batch(spark, rows, since, at=12, pending=None):
+    events = spark.createDataFrame(rows, KIND)
+    arrived = events.groupBy("visit").agg(F.min("ts").alias("arrival"))
+    require = pending and spark.createDataFrame([(v,) for v in pending], "visit bigint")
+    return values(queues.stalled_at_step(arrived, events, "visit", "step", at, F.col("step") > at, since, "arrival", require))
+
+
 def test_stalled_visits_follow_updates(spark, folder):
     stream = feed(spark, folder, [
         [(1, 12, minutes(1)), (2, 12, minutes(2)), (3, 1, minutes(3))], [(1, 20, minutes(4)), (3, 12, minutes(5))],
     ])
-    progress = jobs.stream_visit_progress(stream, [F.col("visit")], "step", "ts", 12, F.col("step") > 12)
-    out, _ = replay(folder, progress, jobs.write_changes, spark)
-    assert values(jobs.stream_stalled_visits(out, ["visit"], START)) == [(2,)]
-    assert values(jobs.stream_stalled_visits(out, ["visit"], minutes(3))) == [(1,)]
+    states, _ = open_visits(spark, folder, stream)
+    assert values(visits.stalled_visits(states, START)) == [(2,)]
+    assert values(visits.stalled_visits(states, minutes(3))) == [(1,)]
+
+
+def test_a_visit_over_midnight_is_one_visit(spark, folder):
+    batches = [[(1, 12, after(50)), (2, 12, after(55))], [(1, 20, after(70))]]  # 23:50, 23:55, then 00:10
+    states, _ = open_visits(spark, folder, feed(spark, folder, batches))
+    rows = [r for b in batches for r in b]
+    assert values(visits.stalled_visits(states, after(0))) == stalled_in_batch(spark, rows, after(0)) == [(1,)]
+
+
+# A visit of another day, a row behind the watermark, and visits that come a day later.
+LONG = [
+    [(1, 12, after(50)), (2, 12, after(55)), (3, 1, after(56))], [(1, 20, after(70))], [(3, 12, after(600))],
+    [(2, 13, after(57))], [(4, 1, after(2400))], [(5, 12, after(2401))],
+]
+
+
+def test_state_ends_a_day_after_arrival(spark, folder):
+    states, query = open_visits(spark, folder, feed(spark, folder, LONG))
+    assert jobs.late_rows(query) == 1
+    assert sorted(r.visit for r in states.collect()) == [4, 5]
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+
+
+def test_state_goes_on_after_a_restart(spark, folder):
+    first, _ = open_visits(spark, folder, feed(spark, folder, LONG[:2]))
+    assert sorted(r.visit for r in first.collect()) == [1, 2, 3]
+    states, _ = open_visits(spark, folder, feed(spark, folder, LONG[2:3]))
+    rows = [r for b in LONG[:3] for r in b]
+    assert values(visits.stalled_visits(states, after(0))) == stalled_in_batch(spark, rows, after(0)) == [(2,)]
+    assert values(visits.stalled_visits(states, after(0), up_to=after(55))) == [(1,)]
+
+
+def test_arrivals_from_a_table_of_visits(spark, folder):
+    """Only visits that arrive are counted; an arrival may come after its events, and events after the visit was dropped do not count."""
+    kind = "visit bigint, arrival timestamp_ntz"
+    for rows in ([(1, after(0)), (9, after(5))], [(2, after(30))], [(7, after(1460))]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{folder}/visits")
+    came = jobs.read_stream(spark, f"{folder}/visits", spark.createDataFrame([], kind).schema, "*.parquet", 1)
+    stream = feed(spark, folder, [[(2, 12, after(31)), (1, 12, after(20)), (3, 12, after(20))], [(1, 11, after(60))], [(7, 13, after(1462))], [(1, 12, after(1463))]])
+    signals = visits.merged(
+        visits.arrivals(came, [F.col("visit")], "arrival"), visits.steps(stream, [F.col("visit")], "step", "ts", 12, F.col("step") > 12))
+    visits.keep_state(visits.stream_visits(signals, ["visit"]), f"{folder}/checkpoint").awaitTermination()
+    states = visits.visit_states(spark, f"{folder}/checkpoint")
+    assert sorted((r.visit, r.arrival) for r in states.where("arrival is not null").collect()) == [(2, after(30)), (7, after(1460))]
+    assert [r.visit for r in states.where("arrival is null").collect()] == [3]  # it never came; visit 1 has ended
+    assert values(visits.stalled_visits(states, after(0))) == [(1,)]
+
+
+def test_a_pending_order_may_come_after_the_step(spark, folder):
+    batches = [[(1, 12, after(50)), (2, 12, after(55)), (3, 12, after(56))], [(3, 20, after(70)), (4, 1, after(80))]]
+    kind = "visit bigint, asked timestamp_ntz"
+    for rows in ([(3, after(50))], [(2, after(75))], [(8, after(76))]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{folder}/orders")
+    orders = jobs.read_stream(spark, f"{folder}/orders", spark.createDataFrame([], kind).schema, "*.parquet", 1)
+    asked = visits.pending_orders(orders, [F.col("visit")], "asked")
+    states, _ = open_visits(spark, folder, feed(spark, folder, batches), 12, 24, asked)
+    rows = [r for b in batches for r in b]
+    assert values(visits.stalled_visits(states, after(0), pending=True)) == stalled_in_batch(spark, rows, after(0), pending=[2, 3, 8]) == [(1,)]
+    assert values(visits.stalled_visits(states, after(0))) == [(2,)]
+
+
+def test_waits_over_midnight(spark, folder):
+    rows = [(7, 1, after(50)), (7, 11, after(70)), (8, 1, after(10)), (8, 11, after(110)), (9, 1, after(20)), (10, 1, after(5000))]
+    stream = feed(spark, folder, [rows[:2], rows[2:5], rows[5:]])
+    instants = jobs.stream_step_instants(stream, [F.col("visit")], "step", "ts", 1, 11)
+    out, _ = replay(folder, instants, partial(jobs.write_appends, by=["day"]), spark)
+    events = spark.createDataFrame(rows, KIND)
+    arrived = events.groupBy("visit").agg(F.min("ts").alias("arrival"))
+    for since in (after(0), after(30)):
+        batch = waits.step_wait(arrived, events, "visit", "step", "ts", 1, 11, "arrival", since)
+        assert values(jobs.stream_step_wait(out, ["visit"], visits=arrived, since=since)) == values(batch)
+    assert values(jobs.stream_step_wait(out, ["visit"], visits=arrived, since=after(30), up_to=after(60))) == [(20.0, 20.0)]
+
+
+def versions(folder):
+    return sorted(p.name for p in Path(f"{folder}/out").iterdir())
+
+
+def test_latest_rows_take_the_place_of_older_ones(spark, folder):
+    def run():
+        signals = visits.steps(feed(spark, folder, []), [F.col("visit")], "step", "ts", 12, F.col("step") > 12, arriving=True)
+        changes = visits.stream_visits(signals, ["visit"])
+        jobs.write_latest(changes, f"{folder}/out", f"{folder}/checkpoint", ["visit"]).awaitTermination()
+        return {r.visit: (r.reached, r.passed) for r in jobs.read_latest(spark, f"{folder}/out").collect()}
+
+    feed(spark, folder, LONG[:2])
+    assert run() == {1: (True, True), 2: (True, False), 3: (False, False)}
+    feed(spark, folder, LONG[2:4])
+    assert run() == {1: (True, True), 2: (True, False), 3: (True, False)}
+    feed(spark, folder, LONG[4:])
+    assert run() == {4: (False, False), 5: (True, False)}  # the others ended
+    assert len(versions(folder)) == 2
+
+
+def test_a_repeated_batch_makes_the_same_version(spark, folder, monkeypatch):
+    """The writer fails after a version is whole; the batch runs again from the same version before."""
+    signals = visits.steps(feed(spark, folder, LONG[:3]), [F.col("visit")], "step", "ts", 12, F.col("step") > 12, arriving=True)
+    whole, failed = jobs._batches, []
+
+    def failing(spark_, path, name):
+        found = whole(spark_, path, name)
+        if len(found) == 2 and not failed:
+            failed.append(path)
+            raise RuntimeError("lost")
+        return found
+
+    monkeypatch.setattr(jobs, "_batches", failing)
+    with pytest.raises(Exception, match="lost"):
+        jobs.write_latest(visits.stream_visits(signals, ["visit"]), f"{folder}/out", f"{folder}/checkpoint", ["visit"]).awaitTermination()
+    jobs.write_latest(visits.stream_visits(signals, ["visit"]), f"{folder}/out", f"{folder}/checkpoint", ["visit"]).awaitTermination()
+    latest = {r.visit: (r.reached, r.passed) for r in jobs.read_latest(spark, f"{folder}/out").collect()}
+    assert failed and latest == {1: (True, True), 2: (True, False), 3: (True, False)}
+
+
+def test_late_rows_are_kept_apart_and_counted(spark, folder):
+    def run():
+        stream = feed(spark, folder, [])
+        jobs.write_split(stream, "ts", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+
+    feed(spark, folder, LONG[:3])
+    run()
+    feed(spark, folder, [*LONG[3:], [(6, 1, None), (6, 1, after(2391)), (6, 1, after(2390))]])
+    run()  # a restart: the watermark goes on
+    rows = [r for b in LONG for r in b] + [(6, 1, None), (6, 1, after(2391)), (6, 1, after(2390))]
+    split = jobs.split_rows(spark, f"{folder}/out")
+    assert sorted(values(split.select("visit", "step", "ts")), key=repr) == sorted(rows, key=repr)
+    assert sorted(values(split.where("late").select("visit", "ts"))) == [(2, after(57)), (6, after(2390))]
+    counts = jobs.split_counts(spark, f"{folder}/out").orderBy("batch").collect()
+    assert [(r.kept, r.late) for r in counts] == [(3, 0), (1, 0), (1, 0), (0, 1), (1, 0), (1, 0), (2, 1)]
+    assert sum(r.kept + r.late for r in counts) == len(rows)
+    kept = jobs.on_time(spark, f"{folder}/out", spark.createDataFrame([], KIND).schema)
+    signals = visits.steps(kept, [F.col("visit")], "step", "ts", 12, F.col("step") > 12, arriving=True)
+    query = visits.keep_state(visits.stream_visits(signals, ["visit"]), f"{folder}/state")
+    query.awaitTermination()
+    assert jobs.late_rows(query) == 0
+    assert sorted(r.visit for r in visits.visit_states(spark, f"{folder}/state").collect()) == [4, 5, 6]
 
 
 def test_threshold_alerts_are_not_repeated(spark, folder):

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight import fixed
-from wardlight.functions.dates import ntz, shift_months
+from wardlight.functions.dates import days_before, ntz, shift_months
 from wardlight.operators import aging as ageing
 from wardlight.operators import alerts, annotations, counting, encounters, findings, metrics, pharmacy, queues, stays, waits
 from wardlight.plans.catalog import catalog
@@ -28,6 +29,7 @@ from wardlight.sources.driver_tables import (
     hospital_tables,
 )
 from wardlight.streaming import jobs
+from wardlight.streaming import visits as live
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -629,18 +631,73 @@ def stream_hourly_arrivals(spark, folder):
     )
 
 
+def _visit_stream(spark, folder):
+    """Events with the visit of a user and a calendar day, as the batch queries have it."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    return _event_stream(spark, folder).withColumn("visit", F.col("user_id") * 1000 + day)
+
+
+def _overnight_stream(spark, folder):
+    """Events with the visit of a user and a day from 18:00 to 18:00, so that visits cross midnight."""
+    day = F.datediff(F.to_date(F.expr("ts + interval 6 hours")), F.lit("2024-01-01").cast("date"))
+    return _event_stream(spark, folder).withColumn("visit", F.col("user_id") * 1000 + day)
+
+
+def _kept_visits(spark, *signals, hours=24):
+    checkpoint = f"{shared_folder(spark, 'stream')}/checkpoint"
+    live.keep_state(live.stream_visits(live.merged(*signals), ["visit"], hours), checkpoint).awaitTermination()
+    return live.visit_states(spark, checkpoint)
+
+
+def _steps(stream, at):
+    return live.steps(stream, [F.col("visit")], "step", "ts", at, F.col("step") > at, arriving=True)
+
+
 @_bound
 def stream_step_wait(spark, folder):
-    instants = jobs.stream_step_instants(_event_stream(spark, folder), [F.col("user_id")], "step", "ts", 1, 11)
-    return jobs.stream_step_wait(_replayed(spark, instants, jobs.write_appends), ["user_id"], fold_hours=False)
+    """Waits from instants that are final day by day."""
+    instants = jobs.stream_step_instants(_visit_stream(spark, folder), [F.col("visit")], "step", "ts", 1, 11, window="1 day")
+    return jobs.stream_step_wait(_replayed(spark, instants, jobs.write_appends), ["visit"], fold_hours=False)
+
+
+@_bound
+def stream_step_wait_overnight(spark, folder):
+    """Waits of visits that cross midnight, from instants that are final hour by hour, for visits that arrived since ``VISITS_SINCE``."""
+    instants = jobs.stream_step_instants(_overnight_stream(spark, folder), [F.col("visit")], "step", "ts", 1, 11)
+    done = _replayed(spark, instants, partial(jobs.write_appends, by=["day"]))
+    arrived = done.groupBy("visit").agg(F.min("instant").alias("arrival"))
+    return jobs.stream_step_wait(done, ["visit"], False, arrived, VISITS_SINCE)
 
 
 @_bound
 def stream_stalled_visits(spark, folder):
-    progress = jobs.stream_visit_progress(
-        _event_stream(spark, folder), [F.col("user_id")], "step", "ts", 12, F.col("step") > 12
-    )
-    return jobs.stream_stalled_visits(_replayed(spark, progress, jobs.write_changes), ["user_id"], VISITS_SINCE)
+    states = _kept_visits(spark, _steps(_visit_stream(spark, folder), 12), hours=8 * 24)
+    return live.stalled_visits(states, VISITS_SINCE)
+
+
+@_bound
+def stream_stalled_overnight(spark, folder):
+    """Visits of the last 24 hours that stalled, from state that is kept for 24 hours; they cross midnight."""
+    states = _kept_visits(spark, _steps(_overnight_stream(spark, folder), 12))
+    return live.stalled_visits(states, days_before(EVENTS_AS_OF, 1))
+
+
+@_bound
+def stream_stalled_with_pending(spark, folder):
+    """Visits that stalled with a pending order, orders from a stream of their own."""
+    orders = _overnight_stream(spark, folder).where("event_type = 'view' and value > 20")
+    signals = _steps(_overnight_stream(spark, folder), 22), live.pending_orders(orders, [F.col("visit")], "ts")
+    return live.stalled_visits(_kept_visits(spark, *signals, hours=8 * 24), VISITS_SINCE, pending=True)
+
+
+@_bound
+def stream_latest_visits(spark, folder):
+    """The open visits of the last 24 hours as a compacted table."""
+    changes = live.stream_visits(_steps(_overnight_stream(spark, folder), 12), ["visit"])
+    path = shared_folder(spark, "stream")
+    jobs.write_latest(changes, f"{path}/out", f"{path}/checkpoint", ["visit"]).awaitTermination()
+    latest = jobs.read_latest(spark, f"{path}/out").withColumn("arrival", F.timestamp_micros("arrival").cast("timestamp_ntz"))
+    return latest.where(F.col("arrival") >= ntz(days_before(EVENTS_AS_OF, 1))).select("visit", "arrival", "reached", "passed")
 
 
 @_bound

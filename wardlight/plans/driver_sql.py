@@ -701,6 +701,37 @@ SQL["stream_step_wait"] = _with("visit_events", _pairs(
 
 SQL["stream_stalled_visits"] = _stalled(12)
 
+# Visits of a user from 18:00 to 18:00, which cross midnight.
+_OVERNIGHT = """night_events AS (
+  SELECT user_id * 1000 + date_diff('day', DATE '2024-01-01', CAST(ts + INTERVAL 6 HOUR AS DATE)) AS visit, ts, event_type, value,
+    CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 11 WHEN 'click' THEN 12 WHEN 'purchase' THEN 22 WHEN 'error' THEN 32 END AS step
+  FROM events),
+nights AS (SELECT visit, min(ts) AS arrival FROM night_events GROUP BY 1)"""
+
+
+def _stalled_overnight(step: int, since: str, extra: str = "") -> str:
+    return f"""WITH {_OVERNIGHT}
+SELECT count(DISTINCT v.visit) AS n FROM nights v JOIN night_events e ON e.visit = v.visit AND e.step = {step}
+WHERE v.arrival >= TIMESTAMP '{since}' {extra}
+  AND NOT EXISTS (SELECT 1 FROM night_events f WHERE f.visit = v.visit AND f.step > {step})"""
+
+
+SQL["stream_step_wait_overnight"] = f"""WITH {_OVERNIGHT},
+final AS (SELECT visit, step, ts AS at FROM night_events WHERE step IN (1, 11) AND date_trunc('hour', ts) + INTERVAL 1 HOUR
+      <= (SELECT max(ts) FROM night_events WHERE step IN (1, 11)) - INTERVAL 10 MINUTE),
+recent AS (SELECT visit FROM final GROUP BY 1 HAVING min("at") >= TIMESTAMP '2024-01-23')
+""" + _pairs("SELECT visit FROM recent", "SELECT * FROM final", 1, 11, fold=False)
+
+SQL["stream_stalled_overnight"] = _stalled_overnight(12, "2024-01-29 23:59:59")
+
+SQL["stream_stalled_with_pending"] = _stalled_overnight(
+    22, "2024-01-23", "AND v.visit IN (SELECT visit FROM night_events WHERE event_type = 'view' AND value > 20)"
+)
+
+SQL["stream_latest_visits"] = f"""WITH {_OVERNIGHT}
+SELECT visit, min(ts) AS arrival, bool_or(step = 12) AS reached, bool_or(step > 12) AS passed
+FROM night_events GROUP BY 1 HAVING min(ts) >= TIMESTAMP '2024-01-29 23:59:59'"""
+
 SQL["stream_threshold_alerts"] = """
 SELECT DISTINCT user_id AS unit_id, 'Enfermagem' AS area, 'Sobrecarga operacional' AS titulo
 FROM (SELECT user_id, date_trunc('day', ts) AS day, sum(value) AS value FROM events GROUP BY 1, 2)

@@ -1,16 +1,17 @@
-"""Four live jobs over event streams.
+"""Live jobs over event streams, and the tables that they write.
 
 Event time columns are zone-free in the tables; watermarks need zoned
 timestamps, so the jobs cast in the session zone, which is meant to be UTC.
-State is bounded by calendar-day (or hour) windows and the watermark: nothing
-older than the delay past its window is kept.
+The state of the jobs here is bounded by hour windows and the watermark; that of
+visits, in ``streaming.visits``, by a timer per visit.  No visit is cut at midnight.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -56,59 +57,47 @@ def stream_hourly_arrivals(
 
 def stream_step_instants(
     events: DataFrame, visit: Sequence[Column], step: str, ts: str, from_step: int, to_step: int,
-    delay: str = "10 minutes",
+    delay: str = "10 minutes", window: str = "1 hour",
 ) -> DataFrame:
-    """Events of two steps per visit, day and instant, for days that are complete (append).
+    """Events of two steps per visit and instant, once their ``window`` is complete (append).
 
     The mean wait is computed from this table (``stream_step_wait``).  Pairs of
-    events are not joined in the stream: the state holds an instant once,
-    whatever the number of pairs it is part of.
+    events are not joined in the stream: the state holds an instant once, whatever
+    the number of pairs it is part of, and only until its window ends.  The window
+    says when an instant is final and no more: it is no part of a visit's key, so
+    pairs may lie in different windows and on different days.
     """
     rows = events.filter(F.col(step).isin(from_step, to_step))
     counted = (
         _timed(rows, ts, delay)
-        .groupBy(F.window(_TIME, "1 day").alias("day"), *visit, F.col(ts).alias("instant"))
+        .groupBy(F.window(_TIME, window).alias("span"), *visit, F.col(ts).alias("instant"))
         .agg(
             F.count_if(F.col(step) == from_step).alias("n_from"),
             F.count_if(F.col(step) == to_step).alias("n_to"),
         )
     )
-    return counted.select(F.to_date("day.start").alias("day"), *[c for c in counted.columns if c != "day"])
+    return counted.select(F.to_date("instant").alias("day"), *[c for c in counted.columns if c != "span"])
 
 
-def stream_step_wait(instants: DataFrame, visit: Sequence[str], fold_hours: bool = True) -> DataFrame:
-    """Mean wait from the rows that ``stream_step_instants`` has written so far."""
-    keyed = instants.select(F.struct("day", *visit).alias("visit"), "instant", "n_from", "n_to")
-    return mean_wait(pair_minutes(keyed, "visit"), fold_hours)
-
-
-def stream_visit_progress(
-    events: DataFrame, visit: Sequence[Column], step: str, ts: str, at: int, later: Column, delay: str = "10 minutes"
+def stream_step_wait(
+    instants: DataFrame, visit: Sequence[str], fold_hours: bool = True, visits: DataFrame | None = None,
+    since: datetime | str | None = None, up_to: datetime | str | None = None, arrival: str = "arrival",
 ) -> DataFrame:
-    """Per visit and day: arrival, step reached, later step reached (update)."""
-    counted = (
-        _timed(events, ts, delay)
-        .groupBy(F.window(_TIME, "1 day").alias("day"), *visit)
-        .agg(
-            F.min(ts).alias("arrival"),
-            F.coalesce(F.bool_or(F.col(step) == at), F.lit(False)).alias("reached"),
-            F.coalesce(F.bool_or(later), F.lit(False)).alias("passed"),
-        )
-    )
-    return counted.select(F.to_date("day.start").alias("day"), *[c for c in counted.columns if c != "day"])
-
-
-def stream_stalled_visits(changes: DataFrame, visit: Sequence[str], since) -> DataFrame:
-    """Number of visits since ``since`` that stalled, from the changes written so far.
+    """Mean wait from the rows that ``stream_step_instants`` has written so far.
 
-    Of each visit's changes the one of the latest batch counts.  A visit arrives on
-    its own day, so earlier days are left out before the grouping.
+    With ``visits`` (visit columns and ``arrival``) only those that arrived from
+    ``since`` to ``up_to`` count; days before ``since`` are then not read.
     """
-    state = F.struct("arrival", "reached", "passed")
-    recent = changes.where(F.col("day") >= F.to_date(ntz(since)))
-    latest = recent.groupBy("day", *visit).agg(F.max_by(state, "batch").alias("state")).select("state.*")
-    waiting = latest.filter((F.col("arrival") >= ntz(since)) & F.col("reached") & ~F.col("passed"))
-    return waiting.agg(F.count(F.lit(1)).alias("n"))
+    if visits is not None:
+        arrived = visits.where(F.col(arrival).isNotNull())
+        if since is not None:
+            arrived = arrived.where(F.col(arrival) >= ntz(since))
+            instants = instants.where(F.col("day") >= F.to_date(ntz(since)))
+        if up_to is not None:
+            arrived = arrived.where(F.col(arrival) <= ntz(up_to))
+        instants = instants.join(arrived.select(*visit), list(visit), "left_semi")
+    keyed = instants.select(F.struct(*visit).alias("visit"), "instant", "n_from", "n_to")
+    return mean_wait(pair_minutes(keyed, "visit"), fold_hours)
 
 
 def stream_threshold_alerts(
@@ -125,24 +114,120 @@ def stream_threshold_alerts(
     return alerts.dropDuplicatesWithinWatermark(["unit_id", "area", "titulo"]).drop(_TIME)
 
 
-def write_appends(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Append finished rows to parquet; by default runs over what is available and stops."""
+def write_appends(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, by: Sequence[str] = (),
+) -> StreamingQuery:
+    """Append finished rows to parquet, in folders of the columns ``by``; by default runs over what is available and stops."""
     writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start(path)
+    return (writer.partitionBy(*by) if by else writer).trigger(**(trigger or {"availableNow": True})).start(path)
+
+
+# Tables by batch: folders ``<name>=<batch>`` that are whole once Spark has marked them.
+
+def _batches(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the finished folders, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [f.getPath() for f in files.listStatus(folder)]
+    done = [p for p in found if p.getName().startswith(f"{name}=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
 
 
-def write_changes(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Write the changed rows of each batch to ``path/batch=<id>``; a repeated batch replaces itself."""
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_latest(
+    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], still: str = "open", trigger: dict | None = None,
+) -> StreamingQuery:
+    """Keep the latest row of each key in ``path``, rows that are not ``still`` so left out.
+
+    ``stream`` gives at most one row per key and batch.  A batch writes a new
+    version, the one before without the changed keys plus the changes, and then
+    drops versions older than the one before.  Readers see whole versions only
+    (``read_latest``), a batch that is repeated makes the same version from the same
+    one before, and the folder holds two versions at most, however many batches ran.
+    """
 
     def write_batch(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        spark = rows.sparkSession
+        before = [b for b in _batches(spark, path, "version") if b < batch]
+        kept = rows
+        if before:
+            old = spark.read.schema(rows.schema).parquet(f"{path}/version={before[-1]}")
+            kept = old.join(rows.select(*keys), list(keys), "left_anti").unionByName(rows)
+        kept.where(F.col(still)).write.mode("overwrite").parquet(f"{path}/version={batch}")
+        for old_batch in before[:-1]:
+            _drop(spark, f"{path}/version={old_batch}")
 
     writer = stream.writeStream.outputMode("update").foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version that ``write_latest`` has written."""
+    return spark.read.parquet(f"{path}/version={_batches(spark, path, 'version')[-1]}")
+
+
+def write_split(
+    stream: DataFrame, ts: str, path: str, checkpoint: str, delay_minutes: float = 10, trigger: dict | None = None,
+) -> StreamingQuery:
+    """Store every row of a stream, those behind the watermark apart, with a durable count per batch.
+
+    The watermark of a batch is the newest ``ts`` of all batches before it less the
+    delay; earlier rows are late.  A batch is written once, to
+    ``rows/batch=<n>/late=<bool>``, and its counts with the newest time so far to
+    ``counts/batch=<n>``, from which the next batch takes its watermark.  Both replace
+    themselves when a batch is repeated, so nothing is lost or counted twice across
+    restarts.  Rows without a time are not late.  Jobs read the rows that are not
+    late (``on_time``); the others stay for a later correction.
+    """
+
+    def write_batch(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        done = [b for b in _batches(spark, f"{path}/counts", "batch") if b < batch]
+        newest = spark.read.parquet(f"{path}/counts/batch={done[-1]}").first()["newest"] if done else None
+        late = F.lit(False)
+        if newest is not None:
+            mark = F.timestamp_add("MICROSECOND", F.lit(-int(delay_minutes * 60_000_000)), ntz(newest))
+            late = F.coalesce(F.col(ts) < mark, F.lit(False))
+        noted = Observation()
+        marked = rows.withColumn("late", late).observe(
+            noted, F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"), F.max(F.col(ts)).alias("top"))
+        marked.write.mode("overwrite").partitionBy("late").parquet(f"{path}/rows/batch={batch}")
+        seen = noted.get
+        times = [t for t in (newest, seen["top"]) if t is not None]
+        counts = [(seen["n"] - seen["n_late"], seen["n_late"], max(times) if times else None)]
+        spark.createDataFrame(counts, "kept long, late long, newest timestamp_ntz").coalesce(1).write.mode("overwrite").parquet(
+            f"{path}/counts/batch={batch}")
+
+    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def on_time(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
+    """The rows of ``write_split`` that are not late, as a stream."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path}/rows/batch=*/late=false")
+
+
+def split_rows(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of ``write_split`` with ``batch`` and ``late``."""
+    return spark.read.parquet(f"{path}/rows").withColumn("late", F.col("late").cast("boolean"))
+
+
+def split_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Per batch of ``write_split`` the rows ``kept`` and ``late``, and the ``newest`` time so far."""
+    return spark.read.parquet(f"{path}/counts")
+
+
 def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped as later than the watermark, over the reported batches."""
+    """Rows dropped as later than the watermark, over the reported batches of one running query."""
     return sum(
         operator["numRowsDroppedByWatermark"]
         for progress in query.recentProgress
