@@ -75,9 +75,12 @@ def after(n):
 
 def open_visits(spark, folder, stream, at=12, hours=24, *more):
     signals = visits.steps(stream, [F.col("visit")], "step", "ts", at, F.col("step") > at, arriving=True)
-    query = visits.keep_state(visits.stream_visits(visits.merged(signals, *more), ["visit"], hours), f"{folder}/checkpoint")
-    query.awaitTermination()
-    return visits.visit_states(spark, f"{folder}/checkpoint"), query
+    visits.follow_visits(visits.merged(signals, *more), ["visit"], f"{folder}/out", f"{folder}/checkpoint", hours).awaitTermination()
+    return visits.visit_states(spark, f"{folder}/out")
+
+
+def known(states):
+    return sorted((r.visit, r.reached, r.passed) for r in states.collect())
 
 
 def stalled_in_batch(spark, rows, since, at=12, pending=None):
@@ -91,14 +94,14 @@ def test_stalled_visits_follow_updates(spark, folder):
     stream = feed(spark, folder, [
         [(1, 12, minutes(1)), (2, 12, minutes(2)), (3, 1, minutes(3))], [(1, 20, minutes(4)), (3, 12, minutes(5))],
     ])
-    states, _ = open_visits(spark, folder, stream)
+    states = open_visits(spark, folder, stream)
     assert values(visits.stalled_visits(states, START)) == [(2,)]
     assert values(visits.stalled_visits(states, minutes(3))) == [(1,)]
 
 
 def test_a_visit_over_midnight_is_one_visit(spark, folder):
     batches = [[(1, 12, after(50)), (2, 12, after(55))], [(1, 20, after(70))]]  # 23:50, 23:55, then 00:10
-    states, _ = open_visits(spark, folder, feed(spark, folder, batches))
+    states = open_visits(spark, folder, feed(spark, folder, batches))
     rows = [r for b in batches for r in b]
     assert values(visits.stalled_visits(states, after(0))) == stalled_in_batch(spark, rows, after(0)) == [(1,)]
 
@@ -110,24 +113,38 @@ LONG = [
 ]
 
 
-def test_state_ends_a_day_after_arrival(spark, folder):
-    states, query = open_visits(spark, folder, feed(spark, folder, LONG))
-    assert jobs.late_rows(query) == 1
-    assert sorted(r.visit for r in states.collect()) == [4, 5]
-    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+def test_state_ends_a_day_after_the_visit(spark, folder):
+    assert known(open_visits(spark, folder, feed(spark, folder, LONG))) == [(4, False, False), (5, True, False)]
+    marks = visits.visit_batches(spark, f"{folder}/out").orderBy("batch").collect()
+    assert [(r.signals, r.late) for r in marks] == [(3, 0), (1, 0), (1, 0), (1, 1), (1, 0), (1, 0)]
+    assert marks[-1].watermark == after(2391) and marks[3].watermark == marks[2].watermark == after(590)
+    stored = spark.read.parquet(f"{folder}/out/state/version=5")
+    assert sorted(r.visit for r in stored.collect()) == [4, 5]
+
+
+def test_a_late_signal_counts_for_a_visit_that_has_not_ended(spark, folder):
+    assert known(open_visits(spark, folder, feed(spark, folder, LONG[:4]))) == [(1, True, True), (2, True, True), (3, True, False)]
+
+
+def test_a_visit_lasts_while_signals_come(spark, folder):
+    """Its arrival stays the first one, beyond a horizon; another visit moves the watermark."""
+    rows = [[(1, 1, after(0))], [(1, 11, after(1000))], [(2, 1, after(1900))], [(1, 12, after(1950))], [(3, 1, after(2000))]]
+    states = open_visits(spark, folder, feed(spark, folder, rows))
+    assert [(r.visit, r.arrival, r.last) for r in states.where("visit = 1").collect()] == [(1, after(0), after(1950))]
+    assert values(visits.stalled_visits(states, after(2000 - 1440))) == [(0,)]
 
 
 def test_state_goes_on_after_a_restart(spark, folder):
-    first, _ = open_visits(spark, folder, feed(spark, folder, LONG[:2]))
+    first = open_visits(spark, folder, feed(spark, folder, LONG[:2]))
     assert sorted(r.visit for r in first.collect()) == [1, 2, 3]
-    states, _ = open_visits(spark, folder, feed(spark, folder, LONG[2:3]))
+    states = open_visits(spark, folder, feed(spark, folder, LONG[2:3]))
     rows = [r for b in LONG[:3] for r in b]
     assert values(visits.stalled_visits(states, after(0))) == stalled_in_batch(spark, rows, after(0)) == [(2,)]
     assert values(visits.stalled_visits(states, after(0), up_to=after(55))) == [(1,)]
 
 
 def test_arrivals_from_a_table_of_visits(spark, folder):
-    """Only visits that arrive are counted; an arrival may come after its events, and events after the visit was dropped do not count."""
+    """Only visits that arrive are counted, and an arrival may come after its events."""
     kind = "visit bigint, arrival timestamp_ntz"
     for rows in ([(1, after(0)), (9, after(5))], [(2, after(30))], [(7, after(1460))]):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{folder}/visits")
@@ -135,11 +152,13 @@ def test_arrivals_from_a_table_of_visits(spark, folder):
     stream = feed(spark, folder, [[(2, 12, after(31)), (1, 12, after(20)), (3, 12, after(20))], [(1, 11, after(60))], [(7, 13, after(1462))], [(1, 12, after(1463))]])
     signals = visits.merged(
         visits.arrivals(came, [F.col("visit")], "arrival"), visits.steps(stream, [F.col("visit")], "step", "ts", 12, F.col("step") > 12))
-    visits.keep_state(visits.stream_visits(signals, ["visit"]), f"{folder}/checkpoint").awaitTermination()
-    states = visits.visit_states(spark, f"{folder}/checkpoint")
-    assert sorted((r.visit, r.arrival) for r in states.where("arrival is not null").collect()) == [(2, after(30)), (7, after(1460))]
-    assert [r.visit for r in states.where("arrival is null").collect()] == [3]  # it never came; visit 1 has ended
-    assert values(visits.stalled_visits(states, after(0))) == [(1,)]
+    visits.follow_visits(signals, ["visit"], f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    states = visits.visit_states(spark, f"{folder}/out")
+    came = sorted((r.visit, r.arrival) for r in states.where("arrival is not null").collect())
+    assert came == [(1, after(0)), (2, after(30)), (7, after(1460))]  # 9 has ended
+    assert [r.visit for r in states.where("arrival is null").collect()] == [3]  # it never came
+    assert values(visits.stalled_visits(states, after(30))) == [(1,)]
+    assert values(visits.stalled_visits(states, after(0))) == [(2,)]
 
 
 def test_a_pending_order_may_come_after_the_step(spark, folder):
@@ -149,7 +168,7 @@ def test_a_pending_order_may_come_after_the_step(spark, folder):
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{folder}/orders")
     orders = jobs.read_stream(spark, f"{folder}/orders", spark.createDataFrame([], kind).schema, "*.parquet", 1)
     asked = visits.pending_orders(orders, [F.col("visit")], "asked")
-    states, _ = open_visits(spark, folder, feed(spark, folder, batches), 12, 24, asked)
+    states = open_visits(spark, folder, feed(spark, folder, batches), 12, 24, asked)
     rows = [r for b in batches for r in b]
     assert values(visits.stalled_visits(states, after(0), pending=True)) == stalled_in_batch(spark, rows, after(0), pending=[2, 3, 8]) == [(1,)]
     assert values(visits.stalled_visits(states, after(0))) == [(2,)]
@@ -168,44 +187,42 @@ def test_waits_over_midnight(spark, folder):
     assert values(jobs.stream_step_wait(out, ["visit"], visits=arrived, since=after(30), up_to=after(60))) == [(20.0, 20.0)]
 
 
-def versions(folder):
-    return sorted(p.name for p in Path(f"{folder}/out").iterdir())
-
-
-def test_latest_rows_take_the_place_of_older_ones(spark, folder):
-    def run():
-        signals = visits.steps(feed(spark, folder, []), [F.col("visit")], "step", "ts", 12, F.col("step") > 12, arriving=True)
-        changes = visits.stream_visits(signals, ["visit"])
-        jobs.write_latest(changes, f"{folder}/out", f"{folder}/checkpoint", ["visit"]).awaitTermination()
-        return {r.visit: (r.reached, r.passed) for r in jobs.read_latest(spark, f"{folder}/out").collect()}
-
-    feed(spark, folder, LONG[:2])
-    assert run() == {1: (True, True), 2: (True, False), 3: (False, False)}
-    feed(spark, folder, LONG[2:4])
-    assert run() == {1: (True, True), 2: (True, False), 3: (True, False)}
-    feed(spark, folder, LONG[4:])
-    assert run() == {4: (False, False), 5: (True, False)}  # the others ended
-    assert len(versions(folder)) == 2
+def test_the_folder_holds_two_versions(spark, folder):
+    for k in range(0, 6, 2):
+        open_visits(spark, folder, feed(spark, folder, LONG[k : k + 2]))
+    assert sorted(p.name for p in Path(f"{folder}/out/state").iterdir()) == ["version=4", "version=5"]
+    assert visits.visit_batches(spark, f"{folder}/out").count() == 6
 
 
 def test_a_repeated_batch_makes_the_same_version(spark, folder, monkeypatch):
-    """The writer fails after a version is whole; the batch runs again from the same version before."""
-    signals = visits.steps(feed(spark, folder, LONG[:3]), [F.col("visit")], "step", "ts", 12, F.col("step") > 12, arriving=True)
-    whole, failed = jobs._batches, []
+    """The writer fails when a version is written and its marks are not; the batch runs again from the version before."""
+    whole, failed = visits.write_version, []
 
-    def failing(spark_, path, name):
-        found = whole(spark_, path, name)
-        if len(found) == 2 and not failed:
+    def failing(df, path, batch):
+        whole(df, path, batch)
+        if batch == 1 and not failed:
             failed.append(path)
             raise RuntimeError("lost")
-        return found
 
-    monkeypatch.setattr(jobs, "_batches", failing)
+    monkeypatch.setattr(visits, "write_version", failing)
+    stream = feed(spark, folder, LONG[:3])
     with pytest.raises(Exception, match="lost"):
-        jobs.write_latest(visits.stream_visits(signals, ["visit"]), f"{folder}/out", f"{folder}/checkpoint", ["visit"]).awaitTermination()
-    jobs.write_latest(visits.stream_visits(signals, ["visit"]), f"{folder}/out", f"{folder}/checkpoint", ["visit"]).awaitTermination()
-    latest = {r.visit: (r.reached, r.passed) for r in jobs.read_latest(spark, f"{folder}/out").collect()}
-    assert failed and latest == {1: (True, True), 2: (True, False), 3: (True, False)}
+        open_visits(spark, folder, stream)
+    assert known(visits.visit_states(spark, f"{folder}/out")) == [(1, True, False), (2, True, False), (3, False, False)]
+    assert known(open_visits(spark, folder, stream)) == [(1, True, True), (2, True, False), (3, True, False)]
+    marks = visits.visit_batches(spark, f"{folder}/out")
+    assert failed and marks.agg(F.sum("signals")).first()[0] == 5
+
+
+def test_a_hot_visit_is_one_row_before_the_shuffle(spark, folder):
+    rows = [(1, 11 + k % 2, after(k % 300)) for k in range(20_000)] + [(2, 12, after(5))]
+    feed(spark, folder, [rows])
+    batch = spark.read.parquet(f"{folder}/in")
+    signals = visits.steps(batch, [F.col("visit")], "step", "ts", 12, F.col("step") > 12, arriving=True)
+    plan = visits._added_up(signals.withColumns({"first": F.col("at"), "last": F.col("at")}), ["visit"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_min") > plan.index("Exchange hashpartitioning(visit")  # printed from the top
+    states = open_visits(spark, folder, feed(spark, folder, []))
+    assert known(states) == [(1, True, False), (2, True, False)]
 
 
 def test_late_rows_are_kept_apart_and_counted(spark, folder):
@@ -226,10 +243,9 @@ def test_late_rows_are_kept_apart_and_counted(spark, folder):
     assert sum(r.kept + r.late for r in counts) == len(rows)
     kept = jobs.on_time(spark, f"{folder}/out", spark.createDataFrame([], KIND).schema)
     signals = visits.steps(kept, [F.col("visit")], "step", "ts", 12, F.col("step") > 12, arriving=True)
-    query = visits.keep_state(visits.stream_visits(signals, ["visit"]), f"{folder}/state")
-    query.awaitTermination()
-    assert jobs.late_rows(query) == 0
-    assert sorted(r.visit for r in visits.visit_states(spark, f"{folder}/state").collect()) == [4, 5, 6]
+    visits.follow_visits(signals, ["visit"], f"{folder}/state", f"{folder}/state-checkpoint").awaitTermination()
+    assert visits.visit_batches(spark, f"{folder}/state").agg(F.sum("late")).first()[0] == 0
+    assert [k[0] for k in known(visits.visit_states(spark, f"{folder}/state"))] == [4, 5, 6]
 
 
 def test_threshold_alerts_are_not_repeated(spark, folder):

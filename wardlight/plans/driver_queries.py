@@ -643,10 +643,10 @@ def _overnight_stream(spark, folder):
     return _event_stream(spark, folder).withColumn("visit", F.col("user_id") * 1000 + day)
 
 
-def _kept_visits(spark, *signals, hours=24):
-    checkpoint = f"{shared_folder(spark, 'stream')}/checkpoint"
-    live.keep_state(live.stream_visits(live.merged(*signals), ["visit"], hours), checkpoint).awaitTermination()
-    return live.visit_states(spark, checkpoint)
+def _followed(spark, *signals, hours=24):
+    path = shared_folder(spark, "stream")
+    live.follow_visits(live.merged(*signals), ["visit"], f"{path}/out", f"{path}/checkpoint", hours).awaitTermination()
+    return live.visit_states(spark, f"{path}/out")
 
 
 def _steps(stream, at):
@@ -671,14 +671,14 @@ def stream_step_wait_overnight(spark, folder):
 
 @_bound
 def stream_stalled_visits(spark, folder):
-    states = _kept_visits(spark, _steps(_visit_stream(spark, folder), 12), hours=8 * 24)
+    states = _followed(spark, _steps(_visit_stream(spark, folder), 12), hours=8 * 24)
     return live.stalled_visits(states, VISITS_SINCE)
 
 
 @_bound
 def stream_stalled_overnight(spark, folder):
     """Visits of the last 24 hours that stalled, from state that is kept for 24 hours; they cross midnight."""
-    states = _kept_visits(spark, _steps(_overnight_stream(spark, folder), 12))
+    states = _followed(spark, _steps(_overnight_stream(spark, folder), 12))
     return live.stalled_visits(states, days_before(EVENTS_AS_OF, 1))
 
 
@@ -687,17 +687,14 @@ def stream_stalled_with_pending(spark, folder):
     """Visits that stalled with a pending order, orders from a stream of their own."""
     orders = _overnight_stream(spark, folder).where("event_type = 'view' and value > 20")
     signals = _steps(_overnight_stream(spark, folder), 22), live.pending_orders(orders, [F.col("visit")], "ts")
-    return live.stalled_visits(_kept_visits(spark, *signals, hours=8 * 24), VISITS_SINCE, pending=True)
+    return live.stalled_visits(_followed(spark, *signals, hours=8 * 24), VISITS_SINCE, pending=True)
 
 
 @_bound
 def stream_latest_visits(spark, folder):
-    """The open visits of the last 24 hours as a compacted table."""
-    changes = live.stream_visits(_steps(_overnight_stream(spark, folder), 12), ["visit"])
-    path = shared_folder(spark, "stream")
-    jobs.write_latest(changes, f"{path}/out", f"{path}/checkpoint", ["visit"]).awaitTermination()
-    latest = jobs.read_latest(spark, f"{path}/out").withColumn("arrival", F.timestamp_micros("arrival").cast("timestamp_ntz"))
-    return latest.where(F.col("arrival") >= ntz(days_before(EVENTS_AS_OF, 1))).select("visit", "arrival", "reached", "passed")
+    """The state of the visits of the last 24 hours."""
+    states = _followed(spark, _steps(_overnight_stream(spark, folder), 12))
+    return states.where(F.col("arrival") >= ntz(days_before(EVENTS_AS_OF, 1))).select("visit", "arrival", "reached", "passed")
 
 
 @_bound

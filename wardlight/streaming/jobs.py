@@ -124,8 +124,8 @@ def write_appends(
 
 # Tables by batch: folders ``<name>=<batch>`` that are whole once Spark has marked them.
 
-def _batches(spark: SparkSession, path: str, name: str) -> list[int]:
-    """Numbers of the finished folders, in order."""
+def finished(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the whole folders of ``path``, in order."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(folder):
@@ -135,41 +135,13 @@ def _batches(spark: SparkSession, path: str, name: str) -> list[int]:
     return sorted(int(p.getName().split("=")[1]) for p in done)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def write_latest(
-    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], still: str = "open", trigger: dict | None = None,
-) -> StreamingQuery:
-    """Keep the latest row of each key in ``path``, rows that are not ``still`` so left out.
-
-    ``stream`` gives at most one row per key and batch.  A batch writes a new
-    version, the one before without the changed keys plus the changes, and then
-    drops versions older than the one before.  Readers see whole versions only
-    (``read_latest``), a batch that is repeated makes the same version from the same
-    one before, and the folder holds two versions at most, however many batches ran.
-    """
-
-    def write_batch(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        before = [b for b in _batches(spark, path, "version") if b < batch]
-        kept = rows
-        if before:
-            old = spark.read.schema(rows.schema).parquet(f"{path}/version={before[-1]}")
-            kept = old.join(rows.select(*keys), list(keys), "left_anti").unionByName(rows)
-        kept.where(F.col(still)).write.mode("overwrite").parquet(f"{path}/version={batch}")
-        for old_batch in before[:-1]:
-            _drop(spark, f"{path}/version={old_batch}")
-
-    writer = stream.writeStream.outputMode("update").foreachBatch(write_batch).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest whole version that ``write_latest`` has written."""
-    return spark.read.parquet(f"{path}/version={_batches(spark, path, 'version')[-1]}")
+def write_version(df: DataFrame, path: str, batch: int) -> None:
+    """Write ``path/version=<batch>`` whole, and drop the versions older than the one before it."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{path}/version={batch}")
+    for old in [b for b in finished(spark, path, "version") if b < batch][:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def write_split(
@@ -188,7 +160,7 @@ def write_split(
 
     def write_batch(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        done = [b for b in _batches(spark, f"{path}/counts", "batch") if b < batch]
+        done = [b for b in finished(spark, f"{path}/counts", "batch") if b < batch]
         newest = spark.read.parquet(f"{path}/counts/batch={done[-1]}").first()["newest"] if done else None
         late = F.lit(False)
         if newest is not None:
