@@ -1,12 +1,13 @@
 """The queries against SQL, and the pipeline's stages against plain Python on their own input."""
 
+import random
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import SCHEMA
+from conftest import SCHEMA, table
 from pyspark.sql import functions as F
 from test_llm_dedup import fingerprint_by_hand, groups_by_hand, lines_by_hand, unique, windows_by_hand
 from tokenizers import Tokenizer
@@ -74,10 +75,11 @@ def check_stages(spark, docs, tmp_path):
 
     texts = [t.encode() for _, t in unique(near)]
     after = {}
-    for row, raw, starts in zip(unique(near), texts, windows_by_hand(texts, 400), strict=True):
+    length = corpus_pipeline.PASSAGE_BYTES
+    for row, raw, starts in zip(unique(near), texts, windows_by_hand(texts, length), strict=True):
         gone = np.zeros(len(raw), bool)
         for s in starts:
-            gone[s : s + 400] = True
+            gone[s : s + length] = True
         after[row] = bytes(np.frombuffer(raw, np.uint8)[~gone]).decode("utf-8", "ignore")
     assert Counter(cut) == Counter((i, None if t is None else after[i, t], lang) for i, t, lang in near)
 
@@ -102,6 +104,21 @@ def test_stages_on_the_smallest_documents(spark, tmp_path):
     check_stages(spark, spark.read.parquet(f"{SF}/documents.parquet"), tmp_path)
 
 
+def test_passages_of_51_words_are_taken_out(spark):
+    """A passage in two documents goes from both; it is the shortest kind that the pipeline promises to find."""
+    rng = random.Random(1)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+    passage = prose(51)
+    alone = [(k, prose(rng.randint(20, 200)), "en") for k in range(20)]
+    docs = table(spark, [(100, f"{prose(30)} {passage} {prose(20)}", "en"), (101, f"{prose(80)}\n{passage}", "en"), *alone])
+    out = {r.doc_id: r.text for r in corpus_pipeline.remove_repeats(spark, docs, "").collect()}
+    assert len(out) == 22 and all(out[i] == t for i, t, _ in alone)
+    assert passage not in out[100] and passage not in out[101] and len(out[100].split()) in (50, 51, 52)
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:

@@ -336,8 +336,10 @@ def suffix_dedup(
 
 
 def digests(kept: DataFrame) -> DataFrame:
-    """The hash of the kept bytes instead of them."""
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """The hash and the number of the kept bytes instead of them."""
+    return kept.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+        F.octet_length("kept").cast("long").alias("kept_bytes"))
 
 
 def without_repeats(
