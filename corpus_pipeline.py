@@ -17,6 +17,10 @@ from wardlight.llm.common import on_key, packed
 from wardlight.session import written
 from wardlight.sources.driver_tables import driver_table
 
+# Bytes of a repeat that the suffix stage takes out.  A passage of 51 words has some 270 bytes or more in the languages
+# at hand; a repeat of about 45 words is found wherever it is embedded.
+PASSAGE_BYTES = 240
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; learned from the labelled ones."""
@@ -37,8 +41,12 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings that occur elsewhere."""
-    return suffix_dedup.without_repeats(docs)
+    """Texts without byte strings of ``PASSAGE_BYTES`` that occur elsewhere.
+
+    The length is the pipeline's own: short enough for passages of over 50 words
+    that lie in several documents, long enough to leave common phrases alone.
+    """
+    return suffix_dedup.without_repeats(docs, length=PASSAGE_BYTES)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
