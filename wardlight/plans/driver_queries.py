@@ -18,6 +18,8 @@ from wardlight import fixed
 from wardlight.functions.dates import days_before, ntz, shift_months
 from wardlight.operators import aging as ageing
 from wardlight.operators import alerts, annotations, counting, encounters, findings, metrics, pharmacy, queues, stays, waits
+from wardlight.operators.timeline import Grid
+from wardlight.plans import timeline as timelines
 from wardlight.plans.catalog import catalog
 from wardlight.plans.runs import run_catalog, snapshot_metrics
 from wardlight.session import shared_folder, written
@@ -607,6 +609,45 @@ def catalog_findings(spark, folder):
     return findings.cross_findings(log.withColumns(stamp), _catalog_table(spark, folder))
 
 
+# Many moments and units at once.
+
+JULY = Grid(datetime(2001, 7, 1), datetime(2001, 7, 31, 23))
+
+
+@_bound
+def timeline_queue(spark, folder):
+    """The reception queue of every hour of a month, per company; moments without a queue left out."""
+    return timelines.reception_queue(hospital_tables(spark, folder), JULY).where("n > 0")
+
+
+@_bound
+def timeline_triage(spark, folder):
+    return timelines.triage_queue(hospital_tables(spark, folder), JULY).where("quantidade > 0")
+
+
+@_bound
+def timeline_census(spark, folder):
+    return timelines.inpatient_census(hospital_tables(spark, folder), JULY).where("n > 0")
+
+
+@_bound
+def timeline_indicators(spark, folder):
+    return timelines.day_indicators(hospital_tables(spark, folder), JULY).where("quant > 0")
+
+
+@_bound
+def timeline_metrics(spark, folder):
+    """The live metrics of every hour of a month and three companies."""
+    return timelines.live_metrics(spark, hospital_tables(spark, folder), JULY, [1, 2, 3])
+
+
+@_bound
+def timeline_alerts(spark, folder):
+    """Alerts of every hour of a month and three companies."""
+    table = timelines.live_metrics(spark, hospital_tables(spark, folder), JULY, [1, 2, 3])
+    return alerts.threshold_alerts(table, alerts.threshold_rules(spark))
+
+
 # Streams: replays of the event file, written below the shared folder and read back.
 
 def _event_stream(spark, folder):

@@ -809,3 +809,54 @@ SQL["catalog_metrics"] = _with("metrics", "SELECT * FROM metrics", _SNAPSHOT)
 SQL["catalog_status"] = _with("shown", _STATUS, _SNAPSHOT)
 SQL["catalog_alerts"] = _with("alerts", "SELECT * FROM alerts", _SNAPSHOT)
 SQL["catalog_findings"] = _with("runs wide", f"SELECT * FROM ({_FINDINGS})", _SNAPSHOT)
+
+# Every hour of July 2001, by comparing each hour with each row.
+
+_HOURS = "unnest(generate_series(TIMESTAMP '2001-07-01', TIMESTAMP '2001-07-31 23:00:00', INTERVAL 1 HOUR))"
+_TIMELINE = {
+    "hours": f"SELECT {_HOURS} AS as_of",
+    "marks": """
+        SELECT visit, min("at") FILTER (step = 12) AS reached, min("at") FILTER (step > 12) AS passed FROM steps GROUP BY 1""",
+    "hourly_queue": """
+        SELECT as_of, company AS cd_multi_empresa, count(*) AS n FROM hours, encounters JOIN marks ON visit = enc
+        WHERE arrival <= as_of AND arrival >= as_of - INTERVAL 1 DAY AND reached <= as_of AND (passed IS NULL OR passed > as_of)
+        GROUP BY 1, 2""",
+    "hourly_triage": """
+        SELECT as_of, company AS cd_multi_empresa, count(*) AS quantidade
+        FROM (SELECT as_of, enc, company FROM hours, encounters JOIN steps ON visit = enc
+              WHERE severity IN ('1', '2', '3', '5') AND CAST(arrival AS DATE) = CAST(as_of AS DATE) AND arrival <= as_of AND "at" <= as_of
+              GROUP BY ALL HAVING count(*) = 1) GROUP BY 1, 2""",
+    "inpatients": "SELECT *, left_at - INTERVAL 2 HOUR AS medical FROM encounters WHERE parent IS NULL AND kind = 'I'",
+    "hourly_indicators": "SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT as_of, company AS cd_multi_empresa, {k} AS ord, '{name}' AS indic, count(*) AS quant FROM hours, inpatients "
+        f"WHERE arrival <= as_of AND {ts} BETWEEN date_trunc('day', as_of) AND as_of {more} GROUP BY 1, 2"
+        for k, (name, ts, more) in enumerate(zip(
+            fixed.INDICATORS, ["arrival", "left_at", "medical", "expected", "expected"],
+            ["", "", "", "", "AND (left_at IS NULL OR left_at > as_of)"]), 1)
+    ) + ")",
+    "figures": """
+        SELECT h.as_of, u.unit_id, NULL::BIGINT AS deaths, NULL::BIGINT AS low, NULL::BIGINT AS late, NULL::BIGINT AS surgeries,
+               coalesce(a.quant, 0) AS admitted, coalesce(d.quant, 0) AS discharged, coalesce(a.quant, 0) AS inside,
+               coalesce(q.n, 0) + coalesce(t.quantidade, 0) AS queue
+        FROM hours h CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS unit_id) u
+        LEFT JOIN hourly_indicators a ON a.as_of = h.as_of AND a.cd_multi_empresa = u.unit_id AND a.ord = 1
+        LEFT JOIN hourly_indicators d ON d.as_of = h.as_of AND d.cd_multi_empresa = u.unit_id AND d.ord = 5
+        LEFT JOIN hourly_queue q ON q.as_of = h.as_of AND q.cd_multi_empresa = u.unit_id
+        LEFT JOIN hourly_triage t ON t.as_of = h.as_of AND t.cd_multi_empresa = u.unit_id""",
+}
+_CTE |= {name: body for name, body in _TIMELINE.items() if name != "figures"}
+_NEEDS |= {
+    "marks": ["steps"], "hourly_queue": ["hours", "encounters", "marks"], "hourly_triage": ["hours", "encounters", "steps"],
+    "inpatients": ["encounters"], "hourly_indicators": ["hours", "inpatients"],
+}
+_HOURLY = "hourly_queue hourly_triage hourly_indicators"
+_FIGURES = {"figures": _TIMELINE["figures"]}
+SQL["timeline_queue"] = _with("hourly_queue", "SELECT * FROM hourly_queue")
+SQL["timeline_triage"] = _with("hourly_triage", "SELECT * FROM hourly_triage")
+SQL["timeline_indicators"] = _with("hourly_indicators", "SELECT * FROM hourly_indicators")
+SQL["timeline_census"] = _with("hours inpatients", """
+SELECT as_of, company AS cd_multi_empresa, count(*) AS n FROM hours, inpatients
+WHERE arrival <= as_of AND (left_at IS NULL OR left_at > as_of) GROUP BY 1, 2""")
+SQL["timeline_metrics"] = _with(f"{_HOURLY} metrics", "SELECT * FROM metrics", _FIGURES)
+SQL["timeline_alerts"] = _with(f"{_HOURLY} limit_alerts", "SELECT * FROM limit_alerts", _FIGURES)
