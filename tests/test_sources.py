@@ -95,6 +95,47 @@ def test_children_are_pruned_by_their_parents_month(spark, tmp_path, key):
             spark.conf.set(name, value)
 
 
+@pytest.mark.parametrize("key,parent,ts,id_,child", [
+    ("medicamentos_alto_risco", "pre_med", "dt_pre_med", "cd_pre_med", "itpre_med"),
+    ("antibioticos_vs_analgesicos", "pre_med", "dt_pre_med", "cd_pre_med", "itpre_med"),
+    ("top_20_medicamentos_ps", "pre_med", "dt_pre_med", "cd_pre_med", "itpre_med"),
+    ("medicamentos_prescritos_por_medico", "pre_med", "dt_pre_med", "cd_pre_med", "itpre_med"),
+    ("cirurgias_realizadas_por_porte_12m", "aviso_cirurgia", "dt_realizacao", "cd_aviso_cirurgia", "cirurgia_aviso"),
+    ("retorno", "atendime", "hr_atendimento", "cd_atendimento", "coleta_sinal_vital"),
+    ("retorno", "atendime", "hr_atendimento", "cd_atendimento", "pre_med"),
+    ("retorno", "atendime", "hr_atendimento", "cd_atendimento", "triagem_atendimento"),
+])
+def test_child_facts_are_pruned_by_their_parents_month(spark, tmp_path, key, parent, ts, id_, child):
+    """The child's scan has the parent's months as a partition filter; the rows are the same."""
+    from wardlight.sources.driver_tables import HOSPITAL_AS_OF, hospital_tables
+
+    raw = hospital_tables(spark, "/root/testdata/sf0.001")
+    ingest_table(raw[parent], parent, str(tmp_path), ts)
+    ingest_table(raw[child], child, str(tmp_path), ts, parent=raw[parent], key=id_)
+    stored = read_parquet_tables(spark, str(tmp_path), [parent, child])
+    assert stored[child].count() == raw[child].count() and stored[child].select(f"{ts}_month").distinct().count() > 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        built = find(key).build({**raw, **stored}, HOSPITAL_AS_OF)
+        scans = [x for x in plan(built).splitlines() if "FileScan" in x and f"/{child}]" in x]
+        assert scans and all(f"PartitionFilters: [isnotnull({ts}_month" in x for x in scans)
+        assert built.collect() == find(key).build(raw, HOSPITAL_AS_OF).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_readings_are_pruned_by_their_encounters_month(spark, tmp_path):
+    from wardlight.sources.driver_tables import HOSPITAL_AS_OF, hospital_tables
+
+    raw = hospital_tables(spark, "/root/testdata/sf0.001")
+    dated = raw["coleta_sinal_vital"].join(raw["atendime"].select("cd_atendimento", "hr_atendimento"), "cd_atendimento")
+    ingest_table(raw["itcoleta_sinal_vital"], "itcoleta_sinal_vital", str(tmp_path), "hr_atendimento", parent=dated, key="cd_coleta_sinal_vital")
+    stored = read_parquet_tables(spark, str(tmp_path), ["itcoleta_sinal_vital"])
+    built = find("retorno").build({**raw, **stored}, HOSPITAL_AS_OF)
+    assert "PartitionFilters: [isnotnull(hr_atendimento_month" in plan(built)
+    assert built.collect() == find("retorno").build(raw, HOSPITAL_AS_OF).collect()
+
+
 def test_alerts_as_json(spark, tmp_path):
     df = spark.createDataFrame(
         [(AS_OF, 1, "UTI", "alta", "UTI em lotação", "Ocupação UTI em 93.0%", AS_OF)],

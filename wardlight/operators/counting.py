@@ -22,6 +22,11 @@ def kept(df: DataFrame, *conditions: Column | None) -> DataFrame:
     return df
 
 
+def rows_in(weight: str | None = None) -> Column:
+    """Number of rows, or the sum of ``weight`` where rows were already counted together."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+
 def in_span(
     df: DataFrame, ts: str, start: datetime | str | None = None, before: datetime | str | None = None,
     up_to: datetime | str | None = None,
@@ -56,6 +61,13 @@ def months_in_span(
     )
 
 
+def children_in_span(
+    df: DataFrame, ts: str, start: datetime | str | None = None, end: datetime | str | None = None,
+) -> DataFrame:
+    """``months_in_span`` of a child table, without the partition column, which its parent has too."""
+    return months_in_span(df, ts, start, end).drop(month_column(ts))
+
+
 def on_day(df: DataFrame, ts: str, day: datetime | str) -> DataFrame:
     """Rows of the calendar day of ``day``."""
     return in_span(df, ts, day_start(day), day_start(day) + timedelta(days=1))
@@ -78,7 +90,7 @@ def counts_by_name(
 def monthly_evolution(
     df: DataFrame, ts: str, category: str, labels: Mapping, where: Column | None = None,
     year_from: int | None = None, year_to: int | None = None, as_of: datetime | str | None = None,
-    with_month: bool = False,
+    with_month: bool = False, weight: str | None = None,
 ) -> DataFrame:
     """Rows per ``MM/yyyy`` and category label, over whole calendar years.
 
@@ -97,7 +109,7 @@ def monthly_evolution(
     ]
     if with_month:
         keys.append(F.trunc(at, "MM").alias("mes"))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("qtd")).orderBy("competencia", "tp_atendimento")
+    return rows.groupBy(*keys).agg(rows_in(weight).alias("qtd")).orderBy("competencia", "tp_atendimento")
 
 
 def period_indicators(
@@ -136,7 +148,7 @@ def count_in_period(
 def monthly_count(
     df: DataFrame, ts: str, dims: Sequence[str] = (), labels: Mapping[str, Mapping] | None = None,
     where: Column | None = None, since: datetime | str | None = None, fmt: str = "yyyy-MM",
-    month: str = "mes", count: str = "qtde",
+    month: str = "mes", count: str = "qtde", weight: str | None = None,
 ) -> DataFrame:
     """Rows per month text and dimensions.
 
@@ -145,7 +157,7 @@ def monthly_count(
     NULL month unless ``since`` or ``where`` excludes them.
     """
     rows = kept(in_span(df, ts, since), where)
-    counted = rows.groupBy(F.date_format(ts, fmt).alias(month), *dims).agg(F.count(F.lit(1)).alias(count))
+    counted = rows.groupBy(F.date_format(ts, fmt).alias(month), *dims).agg(rows_in(weight).alias(count))
     for dim, mapping in (labels or {}).items():
         counted = counted.withColumn(dim, label_of(F.col(dim), mapping))
     return counted
@@ -153,11 +165,11 @@ def monthly_count(
 
 def count_by_entity(
     df: DataFrame, key: str, ts: str | None = None, since: datetime | str | None = None,
-    where: Column | None = None, count: str = "qtde",
+    where: Column | None = None, count: str = "qtde", weight: str | None = None,
 ) -> DataFrame:
     """Rows per entity, optionally from ``since`` on."""
     rows = kept(df if since is None else in_span(df, ts, since), where)
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias(count))
+    return rows.groupBy(key).agg(rows_in(weight).alias(count))
 
 
 def hourly_arrivals(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wardlight.fixed import COLOURS, NO_COLOUR, VITAL_SIGNS
 from wardlight.functions.dates import shift_months
 from wardlight.functions.text import joined, label_of
-from wardlight.operators.counting import in_span, kept
+from wardlight.operators.counting import children_in_span, in_span, kept
 
 
 def latest_pivot(
@@ -53,32 +53,38 @@ def encounter_summary(
 
     Triage visits, vital signs and prescriptions are cut to the chosen encounters
     by semi joins, so the history of other encounters is neither aggregated nor,
-    if the chosen ones are few, shuffled.
+    if the chosen ones are few, shuffled.  Those of them that are stored by their
+    encounter's months (``ingest_table`` with the encounters as parent) are read for
+    the asked months only.
     """
     end = shift_months(month_start, months)
+    own = {
+        name: children_in_span(tables[name], "hr_atendimento", month_start, end)
+        for name in ("coleta_sinal_vital", "itcoleta_sinal_vital", "pre_med", "itpre_med", "triagem_atendimento")
+    }
     chosen = kept(in_span(tables["atendime"], "hr_atendimento", month_start, end), where).select(
         "cd_atendimento", "cd_paciente", "cd_prestador", "cd_cid", "hr_atendimento"
     )
     ids = chosen.select("cd_atendimento")
     readings = (
-        tables["coleta_sinal_vital"].join(ids, "cd_atendimento", "left_semi")
-        .join(tables["itcoleta_sinal_vital"], "cd_coleta_sinal_vital")
+        own["coleta_sinal_vital"].join(ids, "cd_atendimento", "left_semi")
+        .join(own["itcoleta_sinal_vital"], "cd_coleta_sinal_vital")
         .filter(F.col("cd_sinal_vital").isin(*VITAL_SIGNS))
     )
     vitals = latest_pivot(
         readings, ["cd_atendimento"], "cd_sinal_vital", "valor", "data_coleta", "cd_coleta_sinal_vital", VITAL_SIGNS
     )
     prescribed = (
-        tables["pre_med"].select("cd_pre_med", "cd_atendimento").join(ids, "cd_atendimento", "left_semi")
+        own["pre_med"].select("cd_pre_med", "cd_atendimento").join(ids, "cd_atendimento", "left_semi")
         .join(
-            tables["itpre_med"].filter("coalesce(sn_cancelado, 'N') = 'N'").select("cd_pre_med", "cd_produto"),
+            own["itpre_med"].filter("coalesce(sn_cancelado, 'N') = 'N'").select("cd_pre_med", "cd_produto"),
             "cd_pre_med",
         )
         .join(tables["produto"].select("cd_produto", "ds_produto"), "cd_produto")
     )
     drugs = ordered_list(prescribed, "cd_atendimento", "ds_produto", name="medicamentos")
     triage = (
-        tables["triagem_atendimento"].select("cd_atendimento", "cd_cor_referencia", "ds_queixa_principal")
+        own["triagem_atendimento"].select("cd_atendimento", "cd_cor_referencia", "ds_queixa_principal")
         .join(ids, "cd_atendimento", "left_semi")
     )
     sheet = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions.dates import month_of
 from wardlight.functions.text import keyword_class, not_starting_with
-from wardlight.operators.counting import counts_by_name, in_span, kept
+from wardlight.operators.counting import counts_by_name, in_span, kept, rows_in
 
 
 def top_k_by_count(
@@ -37,14 +37,14 @@ def top_k_by_count(
 def keyword_class_monthly(
     df: DataFrame, ts: str, key: str, lookup: DataFrame, text: str,
     rules: Sequence[tuple[str, Sequence[str]]], default: str, since: datetime | str | None = None,
-    where: Column | None = None,
+    where: Column | None = None, weight: str | None = None,
 ) -> DataFrame:
     """Rows per month and keyword class of a looked-up name.
 
     The keywords are tried once per lookup row, on already counted keys.
     """
     rows = kept(in_span(df, ts, since), where, F.col(key).isNotNull())
-    counted = rows.groupBy(month_of(F.col(ts)).alias("mes"), key).agg(F.count(F.lit(1)).alias("qtde"))
+    counted = rows.groupBy(month_of(F.col(ts)).alias("mes"), key).agg(rows_in(weight).alias("qtde"))
     classes = lookup.select(key, keyword_class(F.col(text), rules, default).alias("classe"))
     return counts_by_name(counted, classes, key, "classe", keep=["mes"])
 

@@ -235,7 +235,7 @@ def _performed(tables: Tables, *conditions: Column, since: datetime | None = Non
     """Performed surgery notices with their procedures."""
     notices = counting.in_span(tables["aviso_cirurgia"], "dt_realizacao", since)
     notices = counting.kept(notices, F.col("tp_situacao") == "R", *conditions)
-    return notices.join(tables["cirurgia_aviso"], "cd_aviso_cirurgia")
+    return notices.join(counting.children_in_span(tables["cirurgia_aviso"], "dt_realizacao", since), "cd_aviso_cirurgia")
 
 
 @_query(SURGERY, "cirurgias_realizadas_por_tipo")
@@ -255,6 +255,7 @@ _GIVEN = "coalesce(sn_cancelado, 'N') = 'N'"
 def _items(tables: Tables, since: datetime | None, company: int | None = None) -> DataFrame:
     """Items that were not cancelled, with their prescription's date, doctor and encounter.
 
+    Items that are stored by their prescription's months are read from the month of ``since`` on.
     Prescriptions are cut to the encounters of a company before the far more
     numerous items are joined.
     """
@@ -262,7 +263,8 @@ def _items(tables: Tables, since: datetime | None, company: int | None = None) -
     if company is not None:
         wanted = tables["atendime"].filter(F.col("cd_multi_empresa") == company).select("cd_atendimento")
         orders = orders.join(wanted, "cd_atendimento")
-    return tables["itpre_med"].filter(_GIVEN).join(orders, "cd_pre_med")
+    items = counting.children_in_span(tables["itpre_med"], "dt_pre_med", since)
+    return items.filter(_GIVEN).join(orders, "cd_pre_med")
 
 
 @_query(PHARMACY, "medicamentos_alto_risco")

@@ -20,6 +20,7 @@ from wardlight.functions.dates import ntz
 from wardlight.operators.alerts import threshold_alerts
 from wardlight.operators.counting import kept
 from wardlight.operators.waits import mean_wait, pair_minutes
+from wardlight.sources.versions import finished
 
 _TIME = "event_time"
 
@@ -122,28 +123,6 @@ def write_appends(
     return (writer.partitionBy(*by) if by else writer).trigger(**(trigger or {"availableNow": True})).start(path)
 
 
-# Tables by batch: folders ``<name>=<batch>`` that are whole once Spark has marked them.
-
-def finished(spark: SparkSession, path: str, name: str) -> list[int]:
-    """Numbers of the whole folders of ``path``, in order."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    found = [f.getPath() for f in files.listStatus(folder)]
-    done = [p for p in found if p.getName().startswith(f"{name}=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().split("=")[1]) for p in done)
-
-
-def write_version(df: DataFrame, path: str, batch: int) -> None:
-    """Write ``path/version=<batch>`` whole, and drop the versions older than the one before it."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}/version={batch}")
-    for old in [b for b in finished(spark, path, "version") if b < batch][:-1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version={old}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def write_split(
     stream: DataFrame, ts: str, path: str, checkpoint: str, delay_minutes: float = 10, trigger: dict | None = None,
 ) -> StreamingQuery:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wardlight.functions.dates import MICROS_PER_HOUR, ntz
-from wardlight.streaming.jobs import finished, write_version
+from wardlight.sources.versions import finished, write_version
 
 SOURCES = ("arrivals", "steps", "orders")
 MARKS = "signals long, late long, watermark timestamp_ntz, " + ", ".join(f"{s} timestamp_ntz" for s in SOURCES)
