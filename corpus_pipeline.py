@@ -20,6 +20,7 @@ from wardlight.sources.driver_tables import driver_table
 # Bytes of a repeat that the suffix stage takes out.  A passage of 51 words has some 270 bytes or more in the languages
 # at hand; a repeat of about 45 words is found wherever it is embedded.
 PASSAGE_BYTES = 240
+ANCHOR_BYTES = 40  # short anchors lie further apart, so fewer rows are shuffled
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     The length is the pipeline's own: short enough for passages of over 50 words
     that lie in several documents, long enough to leave common phrases alone.
     """
-    return suffix_dedup.without_repeats(docs, length=PASSAGE_BYTES)
+    return suffix_dedup.without_repeats(docs, length=PASSAGE_BYTES, gram=ANCHOR_BYTES)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
