@@ -23,17 +23,20 @@ Tables = Mapping[str, DataFrame]
 
 @dataclass(frozen=True)
 class Query:
+    """A named query; one that lists ``detail`` gives a row per fact and is not stored whole by a run."""
+
     area: str
     key: str
     build: Callable[[Tables, datetime], DataFrame]
+    detail: bool = False
 
 
 _REGISTRY: dict[str, Query] = {}
 
 
-def _query(area: str, key: str):
+def _query(area: str, key: str, detail: bool = False):
     def register(build: Callable[[Tables, datetime], DataFrame]):
-        _REGISTRY[key + "@" + area] = Query(area, key, build)
+        _REGISTRY[key + "@" + area] = Query(area, key, build, detail)
         return build
 
     return register
@@ -249,7 +252,8 @@ def surgeries_by_type(tables: Tables, as_of: datetime) -> DataFrame:
 
 # Pharmacy.
 
-_GIVEN = "coalesce(sn_cancelado, 'N') = 'N'"
+# Items that were not cancelled.
+GIVEN = "coalesce(sn_cancelado, 'N') = 'N'"
 
 
 def _items(tables: Tables, since: datetime | None, company: int | None = None) -> DataFrame:
@@ -264,7 +268,7 @@ def _items(tables: Tables, since: datetime | None, company: int | None = None) -
         wanted = tables["atendime"].filter(F.col("cd_multi_empresa") == company).select("cd_atendimento")
         orders = orders.join(wanted, "cd_atendimento")
     items = counting.children_in_span(tables["itpre_med"], "dt_pre_med", since)
-    return items.filter(_GIVEN).join(orders, "cd_pre_med")
+    return items.filter(GIVEN).join(orders, "cd_pre_med")
 
 
 @_query(PHARMACY, "medicamentos_alto_risco")
@@ -352,12 +356,12 @@ orders_12_24h = _query(SHARED, "os_manutencao_aberta_12_24h")(_open_orders("12_2
 orders_over_24h = _query(SHARED, "os_manutencao_aberta_mais_24h")(_open_orders("mais_24h"))
 
 
-@_query(SHARED, "medicacao_administrada")
+@_query(SHARED, "medicacao_administrada", detail=True)
 def prescribed_items(tables: Tables, as_of: datetime) -> DataFrame:
     return pharmacy.prescription_detail(
         tables["itpre_med"], tables["pre_med"], tables["produto"], tables["prestador"],
         "cd_pre_med", "cd_produto", "cd_prestador", "cd_itpre_med", "dt_pre_med", "ds_produto", "nm_prestador",
-        "ds_itpre_med", fixed.CONDITIONAL_PREFIXES, F.expr(_GIVEN),
+        "ds_itpre_med", fixed.CONDITIONAL_PREFIXES, F.expr(GIVEN),
     )
 
 

@@ -19,8 +19,9 @@ from wardlight.functions.dates import days_before, ntz, shift_months
 from wardlight.operators import aging as ageing
 from wardlight.operators import alerts, annotations, counting, encounters, findings, metrics, pharmacy, queues, stays, waits
 from wardlight.operators.timeline import Grid
+from wardlight.plans import rollups
 from wardlight.plans import timeline as timelines
-from wardlight.plans.catalog import catalog
+from wardlight.plans.catalog import catalog, find
 from wardlight.plans.runs import run_catalog, snapshot_metrics
 from wardlight.session import shared_folder, written
 from wardlight.sources.driver_tables import (
@@ -581,6 +582,21 @@ def catalog_run_log(spark, folder):
 
 # The metric layer as a snapshot job has it: metrics from seven catalog queries.
 
+# Queries whose rows come in one order and whose columns are texts and whole numbers.
+SAMPLED = (
+    "evolucao_atendimentos_internacao", "evolucao_atendimentos_externos", "evolucao_atendimentos_ambulatorio",
+    "evolucao_atendimentos_urgencia", "internacao_e_altas", "obitos_mes", "fila_recepcao", "fila_triagem", "internados", "leito_uti",
+    "cirurgias_status_mes", "top_20_medicamentos_ps", "top_20_medicamentos_sc", "qtd_pacientes_retorno_7_dias",
+)
+
+
+@_bound
+def catalog_samples(spark, folder):
+    """The first rows of catalog results, as the run log keeps them."""
+    log = run_catalog(spark, hospital_tables(spark, folder), HOSPITAL_AS_OF, [find(key) for key in SAMPLED])
+    return log.select("query_key", "truncated", F.posexplode("sample").alias("place", "row"))
+
+
 def _catalog_table(spark, folder):
     return snapshot_metrics(spark, hospital_tables(spark, folder), HOSPITAL_AS_OF)
 
@@ -648,6 +664,22 @@ def timeline_alerts(spark, folder):
     return alerts.threshold_alerts(table, alerts.threshold_rules(spark))
 
 
+# Catalog queries answered from daily counts that are stored and read back.
+
+def _from_rollup(key):
+    def build(spark, folder):
+        tables, out = hospital_tables(spark, folder), shared_folder(spark, "rollups")
+        rollups.store(tables, out, [rollups.ANSWERS[key][0]])
+        return rollups.answer(spark, out, key, tables, HOSPITAL_AS_OF)
+
+    build.__name__ = f"rollup_{key}"
+    return build
+
+
+for _key in rollups.ANSWERS:
+    _bound(_from_rollup(_key))
+
+
 # Streams: replays of the event file, written below the shared folder and read back.
 
 def _event_stream(spark, folder):
@@ -753,4 +785,4 @@ def stream_threshold_alerts(spark, folder):
         F.lit("Enfermagem").alias("area"), F.lit("fila_total").alias("metric"), "value",
     )
     raised = jobs.stream_threshold_alerts(figures, alerts.threshold_rules(spark))
-    return _replayed(spark, raised, jobs.write_appends).select("unit_id", "area", "titulo").distinct()
+    return _replayed(spark, raised, jobs.write_appends).select("unit_id", "area", "titulo")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from wardlight import fixed
 from wardlight.plans.catalog import catalog
+from wardlight.plans.rollups import ANSWERS
 from wardlight.plans.runs import query_label
 from wardlight.sources.driver_tables import DRUG_NAMES, EVENTS_AS_OF, HOSPITAL_AS_OF
 
@@ -788,6 +789,27 @@ def _log_row(area: str, key: str) -> str:
 
 SQL["catalog_run_log"] = " UNION ALL ".join(_log_row(q.area, q.key) for q in catalog())
 
+# Samples: the first 20 rows of each result as JSON, in the order of the result.
+_SAMPLE_ORDER = {
+    "internacao_e_altas": "ord", "obitos_mes": "mes_ano", "cirurgias_status_mes": "mes NULLS LAST, tp_situacao NULLS LAST",
+    "top_20_medicamentos_ps": "rn", "top_20_medicamentos_sc": "rn",
+    **{key: "competencia, tp_atendimento" for key in _EVOLUTIONS},
+}
+
+
+def _sample(key: str) -> str:
+    body = _evolution(*_EVOLUTIONS[key], "2001 AND 2001") if key in _EVOLUTIONS else SQL[key]
+    columns = "competencia,tp_atendimento,qtd" if key in _EVOLUTIONS else _COLUMNS[key]
+    pairs = ", ".join(f"{c} := {c}" for c in columns.split(","))
+    return f"""SELECT '{key}' AS query_key, n > 20 AS truncated, (nth - 1)::INTEGER AS place, to_json(struct_pack({pairs}))::VARCHAR AS row
+FROM (SELECT *, row_number() OVER (ORDER BY {_SAMPLE_ORDER.get(key, "1")}) AS nth, count(*) OVER () AS n FROM ({body})) WHERE nth <= 20"""
+
+
+SQL["catalog_samples"] = " UNION ALL ".join(_sample(key) for key in [
+    *_EVOLUTIONS, "internacao_e_altas", "obitos_mes", "fila_recepcao", "fila_triagem", "internados", "leito_uti", "cirurgias_status_mes",
+    "top_20_medicamentos_ps", "top_20_medicamentos_sc", "qtd_pacientes_retorno_7_dias",
+])
+
 # The snapshot of the catalog: its figures come from seven catalog queries, its run log from those of the shared area.
 
 _SNAPSHOT = {
@@ -860,3 +882,6 @@ SELECT as_of, company AS cd_multi_empresa, count(*) AS n FROM hours, inpatients
 WHERE arrival <= as_of AND (left_at IS NULL OR left_at > as_of) GROUP BY 1, 2""")
 SQL["timeline_metrics"] = _with(f"{_HOURLY} metrics", "SELECT * FROM metrics", _FIGURES)
 SQL["timeline_alerts"] = _with(f"{_HOURLY} limit_alerts", "SELECT * FROM limit_alerts", _FIGURES)
+
+# The same rows from stored counts.
+SQL |= {f"rollup_{key}": SQL[key] for key in ANSWERS}

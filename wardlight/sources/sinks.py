@@ -37,7 +37,3 @@ def write_alerts_json(alerts: DataFrame, path: str, mode: str = "overwrite") ->
         "area", "prioridade", "titulo", "descricao",
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
     ).write.mode(mode).json(path)
-
-
-def write_run_log(run_log: DataFrame, path: str, mode: str = "append") -> None:
-    run_log.write.mode(mode).parquet(path)

@@ -23,6 +23,11 @@ def _folder(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder, files = _folder(spark, path)
+    return files.exists(folder)
+
+
 def finished(spark: SparkSession, path: str, name: str = "version") -> list[int]:
     """Numbers of the whole folders ``<name>=<number>`` of ``path``, in order."""
     folder, files = _folder(spark, path)
@@ -54,11 +59,11 @@ def _manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest/version={known[-1]}")
 
 
-def replace_parts(tables: Mapping[str, DataFrame], path: str, parts: Sequence[str], run: str | None = None) -> None:
+def replace_parts(tables: Mapping[str, DataFrame], path: str, parts: Sequence[str] | None = None, run: str | None = None) -> None:
     """Put the given parts of all tables in the place of what was there, in one step.
 
-    Every table has a text column ``part`` whose values are among ``parts``; a part
-    without rows becomes empty.  Data go to folders of the run; the parts of all
+    Every table has a text column ``part`` whose values are among ``parts`` (by
+    default those that occur); a part without rows becomes empty.  Data go to folders of the run; the parts of all
     tables count from the moment the new manifest is whole.  Folders that neither
     this manifest nor the one before refers to, those of failed runs among them, are
     dropped then.
@@ -68,6 +73,9 @@ def replace_parts(tables: Mapping[str, DataFrame], path: str, parts: Sequence[st
     for name, df in tables.items():
         df.write.mode("overwrite").partitionBy(PART).parquet(f"{path}/{name}/run={run}")
         df.limit(0).select(*[c for c in df.columns if c != PART]).coalesce(1).write.mode("overwrite").parquet(f"{path}/shape/{name}")
+    if parts is None:
+        found = [spark.read.schema(f"{PART} string").parquet(f"{path}/{name}/run={run}") for name in tables]
+        parts = sorted({r[0] for df in found for r in df.distinct().collect()})  # a name per part
     known = finished(spark, f"{path}/manifest")
     old = _manifest(spark, path)
     new = spark.createDataFrame([(p, run) for p in parts], _MANIFEST)
@@ -86,7 +94,12 @@ def parts_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parts(spark: SparkSession, path: str, table: str, first: str | None = None, last: str | None = None) -> DataFrame:
-    """A table as it counts now, with ``part``; ``first`` and ``last`` bound the parts that are read."""
+    """A table as it counts now, with ``part``; ``first`` and ``last`` bound the parts that are read.
+
+    Raises ``FileNotFoundError`` where nothing has been written.
+    """
+    if not finished(spark, f"{path}/manifest") or not _exists(spark, f"{path}/shape/{table}"):
+        raise FileNotFoundError(f"no {table} in {path}")
     shape = spark.read.parquet(f"{path}/shape/{table}").schema
     data = spark.read.schema(shape.add(PART, "string").add("run", "string")).parquet(f"{path}/{table}")
     wanted = _manifest(spark, path)
