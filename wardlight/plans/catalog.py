@@ -9,7 +9,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from wardlight import fixed
@@ -356,15 +356,26 @@ orders_12_24h = _query(SHARED, "os_manutencao_aberta_12_24h")(_open_orders("12_2
 orders_over_24h = _query(SHARED, "os_manutencao_aberta_mais_24h")(_open_orders("mais_24h"))
 
 
-@_query(SHARED, "medicacao_administrada", detail=True)
-def prescribed_items(tables: Tables, as_of: datetime) -> DataFrame:
-    return pharmacy.prescription_detail(
+def _detail(operator, tables: Tables, **more):
+    return operator(
         tables["itpre_med"], tables["pre_med"], tables["produto"], tables["prestador"],
         "cd_pre_med", "cd_produto", "cd_prestador", "cd_itpre_med", "dt_pre_med", "ds_produto", "nm_prestador",
-        "ds_itpre_med", fixed.CONDITIONAL_PREFIXES, F.expr(GIVEN),
+        "ds_itpre_med", fixed.CONDITIONAL_PREFIXES, F.expr(GIVEN), **more,
     )
 
 
+@_query(SHARED, "medicacao_administrada", detail=True)
+def prescribed_items(tables: Tables, as_of: datetime) -> DataFrame:
+    return _detail(pharmacy.prescription_detail, tables)
+
+
+def prescribed_items_page(
+    tables: Tables, size: int = 1000, after: pharmacy.PageKey | None = None,
+) -> tuple[list[Row], pharmacy.PageKey | None]:
+    """``medicacao_administrada`` page by page (``pharmacy.prescription_page``)."""
+    return _detail(pharmacy.prescription_page, tables, size=size, after=after)
+
+
 @_query(SHARED, "medicamentos_prescritos_por_medico")
 def items_per_prescriber(tables: Tables, as_of: datetime) -> DataFrame:
     rows = _items(tables, shift_months(day_start(as_of), -12))

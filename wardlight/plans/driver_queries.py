@@ -21,7 +21,7 @@ from wardlight.operators import alerts, annotations, counting, encounters, findi
 from wardlight.operators.timeline import Grid
 from wardlight.plans import rollups
 from wardlight.plans import timeline as timelines
-from wardlight.plans.catalog import catalog, find
+from wardlight.plans.catalog import catalog, find, prescribed_items_page
 from wardlight.plans.runs import run_catalog, snapshot_metrics
 from wardlight.session import shared_folder, written
 from wardlight.sources.driver_tables import (
@@ -680,6 +680,16 @@ for _key in rollups.ANSWERS:
     _bound(_from_rollup(_key))
 
 
+@_bound
+def prescription_pages(spark, folder):
+    """The first three pages of the prescribed items, each from where the one before ended."""
+    tables, key, rows = hospital_tables(spark, folder), None, []
+    for page in range(3):
+        found, key = prescribed_items_page(tables, 40, key)
+        rows += [(page, *r) for r in found]
+    return spark.createDataFrame(rows, "page int, data_prescricao string, cd_pre_med long, cd_itpre_med long, medicamento string, medico string")
+
+
 # Streams: replays of the event file, written below the shared folder and read back.
 
 def _event_stream(spark, folder):

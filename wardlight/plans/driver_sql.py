@@ -678,6 +678,12 @@ SELECT strftime(day, '%d/%m/%Y') AS data_prescricao, rx AS cd_pre_med, item AS c
        s_name AS medico
 FROM given_items JOIN supplier ON s_suppkey = doctor WHERE quantity >= 14""")
 
+SQL["prescription_pages"] = _with("given_items", """
+SELECT (nth - 1)::INTEGER // 40 AS page, strftime(day, '%d/%m/%Y') AS data_prescricao, rx AS cd_pre_med, item AS cd_itpre_med,
+       drug AS medicamento, s_name AS medico
+FROM (SELECT *, row_number() OVER (ORDER BY day DESC, rx, item, drug, s_name) AS nth
+      FROM given_items JOIN supplier ON s_suppkey = doctor WHERE quantity >= 14) WHERE nth <= 120""")
+
 SQL["medicamentos_prescritos_por_medico"] = _with("given_items", """
 SELECT s_name AS medico, count(*) AS qtde_medicamentos FROM given_items JOIN supplier ON s_suppkey = doctor
 WHERE day >= TIMESTAMP '2000-07-31' GROUP BY 1""")
