@@ -192,7 +192,7 @@ ALERT_METRIC_RULES = [
     ("itens_alto_risco_baixo", {"titulo": "alto risco"}, None),
 ]
 NO_METRIC_LABEL = "Contexto geral"
-NO_METRIC_VALUE = "Nenhum indicador associado"
+NO_METRIC_VALUE = "Nenhuma métrica associada"  # worded anew
 
 # Text put before an added context note.
 CONTEXT_MARK = " | Contexto IA: "

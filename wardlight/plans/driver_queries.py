@@ -570,6 +570,14 @@ for _catalog_query in catalog():
     QUERIES[_catalog_query.key] = _from_catalog(_catalog_query)
 
 
+@_bound
+def returners_by_doctor(spark, folder):
+    """Doctors with more than one emergency encounter in a week, as ``qtd_pacientes_retorno_7_dias`` counts patients."""
+    where = (F.col("tp_atendimento") == "U") & (F.col("cd_multi_empresa") == 2)
+    return queues.frequent_returners(
+        hospital_tables(spark, folder)["atendime"], "cd_prestador", "cd_atendimento", "dt_atendimento", HOSPITAL_AS_OF, 7, 1, where)
+
+
 @_bound
 def catalog_run_log(spark, folder):
     """Run log of the whole catalog, without the sample rows."""

@@ -571,6 +571,12 @@ SELECT count(*) AS pacientes_reconsultadores FROM (
   GROUP BY 1 HAVING count(*) > 2)""")
 
 
+SQL["returners_by_doctor"] = _with("encounters", """
+SELECT count(*) AS n FROM (
+  SELECT doctor FROM encounters WHERE kind = 'U' AND company = 2 AND arrival >= TIMESTAMP '2001-07-24 18:00:00'
+  GROUP BY 1 HAVING count(*) > 1)""")
+
+
 def _sheet(condition: str) -> str:
     return _with("encounters given_items", f"""
 , readings AS (
