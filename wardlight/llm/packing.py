@@ -46,7 +46,8 @@ END = 2
 
 AT_ONCE = 1 << 20  # characters whose words are looked up together
 JOINED = 4096  # new words encoded in one call
-KEPT = 500_000  # words whose ids a task keeps
+KEPT = 500_000  # words whose ids a task keeps, of
+KEPT_LENGTH = 64  # characters at most
 _WORDS = re.compile("[^ \t\n\r]+")
 
 # Fixed value: the split pattern of the vocabulary.
@@ -123,6 +124,9 @@ class WordEncoder:
             self.learn(missing)
             for words, ids in zip(split, found, strict=True):
                 yield b"".join([known[w] if i is None else i for w, i in zip(words, ids, strict=True)] if None in ids else ids)
+            for w in missing:
+                if len(w) > KEPT_LENGTH:
+                    del known[w]
             begin = end
 
 

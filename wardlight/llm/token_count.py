@@ -13,7 +13,10 @@ piece of its own may also be passed as unknown, at the least score minus 10, tri
 after the pieces of the same start.  Neighbouring unknowns are one; they count one
 token per UTF-8 byte.
 
-Words are counted once while they are kept.  Nulls and edges: a null or empty text
+Words are counted once while they are kept, which long words are not.  The
+vocabulary may be any list of pieces with scores; the query reads a byte-pair model's
+pieces as one (none of the given files is a unigram model), so its counts are the
+library's for that vocabulary as a unigram one, and not the model's own.  Nulls and edges: a null or empty text
 has no tokens; repeated rows are answered one by one; an empty table gives an
 empty one.
 """
@@ -34,7 +37,8 @@ from wardlight.llm.common import plain, sliced
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the library
-KEPT = 500_000
+KEPT = 500_000  # words kept, of
+KEPT_LENGTH = 64  # characters at most
 
 
 @lru_cache(maxsize=2)
@@ -93,13 +97,15 @@ class Counted:
 
     def text(self, text: str) -> int:
         """Tokens of a whole text."""
-        if len(self.known) > KEPT:
-            self.known.clear()
         total = 0
         for word, times in Counter(marked_words(text)).items():
             found = self.known.get(word)
             if found is None:
-                found = self.known[word] = self.word(word)
+                found = self.word(word)
+                if len(word) <= KEPT_LENGTH:
+                    if len(self.known) >= KEPT:
+                        self.known.clear()
+                    self.known[word] = found
             total += found * times
         return total
 

@@ -5,7 +5,9 @@ rule strings in another.  Both are sent to the executors as Spark files (so a ne
 executor fetches them again) and memory-mapped there.  A url probes its host's
 suffixes joined with those prefixes of its path that are as long as some rule's
 path; all probes of a batch are one binary search, and a hit counts only if the
-stored string is equal, so a collision of keys is harmless.
+stored string is equal, so a collision of keys is harmless.  Only suffixes of as many
+labels as some rule's host has are probed, so the work on a url is linear in its
+length, whatever its number of labels.
 
 The rules are a parameter of the job, not data that grows with the pages: their
 files may take ``MAX_RULE_BYTES`` on each executor's disk, which is checked.
@@ -13,7 +15,9 @@ files may take ``MAX_RULE_BYTES`` on each executor's disk, which is checked.
 Edges: a null url, or one without ``://``, has an empty host and path and no
 rule.  Without a rule the verdict is ``default``.  Of several rules that fit, the
 longest string wins, then the longest host.  A rule string given twice keeps its
-last verdict.
+last verdict.  Repeated rows and null ids are answered row by row; urls may be of any
+length; an empty table gives an empty one; only id and url are read, so further
+columns cannot clash.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wardlight.llm.common import sliced
 
 MAX_RULE_BYTES = 4 << 30
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -53,16 +60,19 @@ class DigestRules:
         table = np.load(os.path.join(folder, f"{name}.npy"), mmap_mode="r")
         self.keys, self.at, self.allow = table["key"], table["at"], table["allow"]
         self.strings = np.memmap(os.path.join(folder, f"{name}.bin"), np.uint8, "r")
-        head = self.strings[:8].view(np.int64)[0]
-        self.path_lengths = self.strings[8 : 8 + 8 * head].view(np.int64).tolist()
+        sizes = self.strings[:16].view(np.int64).tolist()
+        numbers = self.strings[16 : 16 + 8 * sum(sizes)].view(np.int64).tolist()
+        self.path_lengths, self.label_counts = numbers[: sizes[0]], numbers[sizes[0] :]
 
     @staticmethod
     def write(rules: list[tuple[str, bool]], folder: str, name: str) -> int:
         """Store (rule string, allowed) pairs; gives the bytes written."""
         unique = {r.encode(): allow for r, allow in rules}
         rows = sorted((xxhash.xxh64_intdigest(r), r, allow) for r, allow in unique.items())
-        lengths = sorted({len(r.decode()[r.decode().index("/"):]) for r in unique})
-        head = np.array([len(lengths), *lengths], np.int64).tobytes()
+        parts = [r.decode().partition("/") for r in unique]
+        lengths = sorted({1 + len(path) for _, _, path in parts})
+        labels = sorted({1 + host.count(".") for host, _, _ in parts})
+        head = np.array([len(lengths), len(labels), *lengths, *labels], np.int64).tobytes()
         ends = len(head) + np.cumsum([0] + [len(r) for _, r, _ in rows])
         table = np.zeros(len(rows), [("key", np.uint64), ("at", np.int64, 2), ("allow", np.bool_)])
         table["key"] = [k for k, _, _ in rows]
@@ -75,10 +85,11 @@ class DigestRules:
 
     def probes(self, host: str, path: str) -> list[str]:
         """The rule strings that would fit, longest first, then longest host."""
-        if not host:
+        if not host or not self.label_counts:
             return []
-        labels = host.split(".")
-        hosts = [".".join(labels[i:]) for i in range(len(labels))]
+        labels = host.rsplit(".", self.label_counts[-1])[-self.label_counts[-1] :]
+        whole = host.count(".") + 1
+        hosts = [".".join(labels[-n:]) for n in reversed(self.label_counts) if n <= whole]
         paths = [path[:n] for n in self.path_lengths if n <= len(path)]
         return sorted((h + p for h in hosts for p in paths), key=len, reverse=True)  # stable: longest host first
 
@@ -128,7 +139,7 @@ def url_filter(
 
     def judge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = _opened(name)
-        for part in parts:
+        for part in sliced(parts):
             urls = [host_and_path(u) for u in part.column(1).to_pylist()]
             fits = opened.first_fits(urls)
             yield pa.record_batch([
@@ -137,7 +148,5 @@ def url_filter(
                 pa.array([default if f is None else "allow" if f[1] else "block" for f in fits], pa.string()),
             ], schema=schema)
 
-    from pyspark.sql import functions as F
-
     ids = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
     return ids.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")
