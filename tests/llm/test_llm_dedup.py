@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -152,6 +153,33 @@ def test_trees_lose_no_link(spark, monkeypatch, seed):
     assert {rows[k][0]: rows[r][0] for k, r in enumerate(want) if r != k} == got
 
 
+def around(rng, n, flips):
+    """Distinct fingerprints that differ from one value in some of their bits."""
+    out = np.full(n, np.uint64(0x123456789ABCDEF0))
+    for _ in range(flips):
+        out ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    return np.unique(out)
+
+
+@pytest.mark.parametrize("flips,small,bits", [(3, 4, 3), (4, 4, 3), (5, 64, 3), (5, 4, 2), (8, 512, 3), (4, 16, 4), (3, 8, 0)])
+def test_dense_fingerprints_lose_no_link(flips, small, bits):
+    fps = around(np.random.default_rng(flips), 1500, flips)
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits)
+    assert (simhash.dense_components(fps, bits, small) == simhash.components(len(fps), a, b)).all()
+
+
+def test_dense_shards_take_linear_time():
+    """200,000 fingerprints around one value; all pairs would take some minutes."""
+    fps, began = around(np.random.default_rng(7), 200_000, 6), time.time()
+    u, v = simhash.shard_links(fps, 0, 3)
+    assert time.time() - began < 90
+    label = dict(zip(u.tolist(), v.tolist(), strict=True))
+    some = np.random.default_rng(8).choice(fps, 300, replace=False)
+    for f in some.tolist():
+        for g in fps[np.bitwise_count(fps ^ np.uint64(f)) <= 3].tolist():
+            assert label.get(f, f) == label.get(g, g)
+
+
 # Suffix arrays.
 
 def windows_by_hand(texts, length):

@@ -14,6 +14,8 @@ r of it lies on a side it does not visit.  Only fingerprints at the boundary
 visit both.  The top of the tree comes from a bounded sample and deals the
 fingerprints to shards; each shard continues the tree over all its own
 fingerprints and compares whole fingerprints in the leaves, so no pair is missed.
+A node that no vantage point cuts (very many fingerprints around one value) is
+linked by equal bytes and flipped bits instead (``dense_components``).
 
 Copies cost nothing: equal fingerprints are one before the search.  A shard
 gives one link per fingerprint (to the least of its component there), never all
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +51,8 @@ SAMPLE = 1 << 16  # fingerprints, at most, that the top of the trees is made fro
 SHARD = 20_000  # fingerprints a shard should have before boundary visits
 NODE_SAMPLE = 16  # fewest sampled fingerprints a node of the top is cut by
 LEAF = 512  # fingerprints compared pairwise at the foot of a tree
+DENSE_BITS = 4  # up to which a dense node is linked by equal bytes
+HELD = 1 << 20  # links kept before components are brought up to date
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -157,6 +162,80 @@ def leaf_links(fps: np.ndarray, at: np.ndarray, max_bits: int) -> Iterator[tuple
                 yield both, both[label]
 
 
+class Linked:
+    """Components of vertices as links come in, by the least member of each."""
+
+    def __init__(self, n: int) -> None:
+        self.label, self.held, self.size = np.arange(n), [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.held.append((a, b))
+            self.size += len(a)
+            if self.size > HELD:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.held:
+            return
+        a, b = (self.label[np.concatenate(c)] for c in zip(*self.held, strict=True))
+        self.held, self.size = [], 0
+        apart = a != b
+        if apart.any():
+            self.label = components(len(self.label), a[apart], b[apart])[self.label]
+
+    def is_one(self, members: np.ndarray) -> bool:
+        labels = self.label[members]
+        return bool((labels == labels[0]).all())
+
+
+def link_by_flips(fps: np.ndarray, members: np.ndarray, free: int, max_bits: int, linked: Linked) -> None:
+    """Link members that differ in bits of ``free`` alone, by looking up what each becomes with some of these bits flipped."""
+    members = members[np.argsort(fps[members])]
+    own, bits = fps[members], [1 << b for b in range(64) if free >> b & 1]
+    for n in range(1, max_bits + 1):
+        linked.settle()
+        if linked.is_one(members):
+            return
+        for flipped in combinations(bits, n):
+            other = own ^ np.uint64(sum(flipped))
+            place = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            hit = np.flatnonzero((own[place] == other) & (other > own))
+            linked.add(members[hit], members[place[hit]])
+
+
+def dense_components(fps: np.ndarray, max_bits: int, small: int = LEAF) -> np.ndarray:
+    """Components of fingerprints that lie too near each other for a vantage point to part them.
+
+    Two within ``max_bits`` are equal in all but ``max_bits`` of their eight bytes.  For
+    each choice of bytes, those that agree in them are compared, or, where they are
+    many, looked up by flipped bits unless they are one component already.  So the
+    work grows with the fingerprints and not with their square.
+    """
+    linked = Linked(len(fps))
+    for kept in combinations(range(8), 8 - max_bits):
+        mask = sum(0xFF << (8 * b) for b in kept)
+        keys = fps & np.uint64(mask)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        sizes = np.diff(np.r_[first, len(keys)])
+        large = sizes > small
+        group = np.repeat(np.where(large, -1, np.arange(len(first))), sizes)
+        left, step = np.flatnonzero(group >= 0), 1
+        while len(left):  # neighbours at growing distance, while they are of one group
+            left = left[left + step < len(keys)]
+            left = left[group[left] == group[left + step]]
+            a, b = order[left], order[left + step]
+            near = np.bitwise_count(fps[a] ^ fps[b]) <= max_bits
+            linked.add(a[near], b[near])
+            step += 1
+        for k in np.flatnonzero(large).tolist():
+            link_by_flips(fps, order[first[k] : first[k] + sizes[k]], ~mask & (1 << 64) - 1, max_bits, linked)
+    linked.settle()
+    return linked.label
+
+
 def shard_links(fps: np.ndarray, which: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Each linked fingerprint of a shard and the least of its component in the shard."""
     radius, points = max_bits // 2, half(fps, which)
@@ -164,6 +243,9 @@ def shard_links(fps: np.ndarray, which: int, max_bits: int) -> tuple[np.ndarray,
     while todo:
         at = todo.pop()
         cut = best_cut(points[at], radius) if len(at) > LEAF else None
+        if cut is None and len(at) > LEAF and max_bits <= DENSE_BITS:
+            found.append((at, at[dense_components(fps[at], max_bits)]))
+            continue
         if cut is None:
             found += leaf_links(fps, at, max_bits)
             continue
