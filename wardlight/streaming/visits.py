@@ -137,7 +137,11 @@ def visit_states(spark: SparkSession, path: str) -> DataFrame:
 
 
 def visit_batches(spark: SparkSession, path: str) -> DataFrame:
-    """Per batch the number of signals, how many of them were late, the watermark after it, and each stream's newest signal."""
+    """Per batch the number of signals, how many of them were late, the watermark after it, and each stream's newest signal.
+
+    The two numbers are noted while the signals are added up; where an executor was lost on the way they can count
+    some signals twice.  Times and states are not affected; ``jobs.write_split`` counts exactly.
+    """
     return spark.read.schema(f"{MARKS}, batch int").parquet(f"{path}/marks")
 
 
