@@ -123,16 +123,19 @@ def snapshot(
     Reviewers' annotations (schemas ``alert_notes``, ``alert_additions`` and
     ``run_notes``) are merged where given.  Alerts that then break the alert
     contract go to ``quarantine``.
-    Each query runs once; its result is stored (in ``folder``, if given) and feeds the
-    metrics.  The metrics feed everything else, so they are computed once and written.  A
+    Each query runs once; its result is stored and feeds the metrics (results stay in
+    ``folder``, if given).  The metrics feed everything else, so they are computed once and written.  A
     query that fails is in the run log and raises its alert; the metrics that come
     from it are NULL and everything else is there.
     """
     at = moment(as_of)
-    run_log, done = run_catalog_results(spark, tables, at, folder=folder)
+    out = folder or shared_folder(spark, "results")
+    run_log, done = run_catalog_results(spark, tables, at, folder=out)
     run_log = run_log.withColumns({"as_of": ntz(at), "unit_id": F.lit(unit_id).cast("bigint")})
     failed = [r.query_key for r in run_log.where("error is not null").select("query_key").collect()]  # of 34 rows at most
     table = written(snapshot_metrics(spark, tables, at, unit_id, failed, done), "metrics")
+    if folder is None:
+        drop(spark, out)
     names = metrics.metric_catalog(spark)
     raised = (
         alerting.threshold_alerts(table, alerting.threshold_rules(spark))
