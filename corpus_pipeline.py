@@ -17,9 +17,9 @@ from wardlight.llm.common import on_key, packed
 from wardlight.session import written
 from wardlight.sources.driver_tables import driver_table
 
-# Bytes of a repeat that the suffix stage takes out.  A passage of 51 words has some 270 bytes or more in the languages
-# at hand; a repeat of about 45 words is found wherever it is embedded.
-PASSAGE_BYTES = 240
+# Bytes of a repeat that the suffix stage takes out.  A passage of 51 words has 270 bytes or more in the languages
+# at hand; a repeat of about 49 words is found wherever it is embedded.
+PASSAGE_BYTES = 260
 ANCHOR_BYTES = 40  # short anchors lie further apart, so fewer rows are shuffled
 
 
