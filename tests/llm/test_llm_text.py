@@ -1,5 +1,6 @@
 """Url rules, tokens, packing, language and quality against plain Python and the libraries."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -91,6 +92,21 @@ def test_bpe_table(spark, odd_rows, clash, long):
     assert bpe.digests(spark.createDataFrame([], SCHEMA), BYTES).count() == 0
 
 
+@pytest.mark.parametrize("long", [bpe.LONG, 500])
+def test_digests_take_one_python_step_a_task(spark, odd_rows, clash, long):
+    """Two Python steps in a row hold two workers a task, each with a vocabulary."""
+    model = Tokenizer.from_file(BYTES)
+    found = bpe.digests(clash, BYTES, long=long)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") == 3 and plan.count("FlatMapGroupsInArrow") == 1  # short texts; cut, pieces; joined
+    want = []
+    for i, t, _ in odd_rows:
+        ids = model.encode(t or "", add_special_tokens=False).ids
+        shas = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), model.decode(ids, skip_special_tokens=False))]
+        want.append((i is not None, i or 0, len(ids), *shas))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found.collect()) == sorted(want)
+
+
 # Packing.
 
 def test_word_encodings_are_the_librarys():

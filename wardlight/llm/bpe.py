@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -180,19 +180,28 @@ def join_pieces(path: str, pieces: list[tuple[str, bytes, bytes, bool]]) -> byte
     return b"".join(out)
 
 
-def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
+def as_ids(ids: list[bytes]) -> list[pa.Array]:
+    return [pa.array(ids, pa.binary())]
+
+
+def bpe_encode(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG,
+    finish: Callable[[list[bytes]], list[pa.Array]] = as_ids, columns: str = "ids binary",
+) -> DataFrame:
     """``doc_id``, ``text_key`` and ``ids`` (little-endian 32-bit numbers) of every row's whole text.
 
     Texts of at most ``long`` characters are encoded where they are read.  Longer
-    ones are cut, dealt out piece by piece, and joined by document.
+    ones are cut, dealt out piece by piece, and joined by document.  ``finish`` makes
+    the ``columns`` that are wanted from the ids of some rows, in the worker that has
+    them: a second Python step would double the workers, and each holds the vocabulary.
     """
     rows = with_key(docs, id_col, text_col)
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("ids", pa.binary())])
+    names = ["doc_id", "text_key", *[c.split()[0] for c in columns.split(", ")]]
 
     def short(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(parts):
             ids = [encode_text(path, t) for t in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), part.column(2), pa.array(ids, pa.binary())], schema=schema)
+            yield pa.record_batch([part.column(0), part.column(2), *finish(ids)], names=names)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(parts):
@@ -230,9 +239,10 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         pieces = sorted(table.to_pylist(), key=lambda r: r["piece"])
         ids = join_pieces(path, [(r["text"], r["ids"], r["places"], r["sure"]) for r in pieces])
         n = pieces[0]["copies"]
-        return pa.table([pa.array([pieces[0]["doc_id"]] * n, pa.int64()), pa.array([pieces[0]["text_key"]] * n, pa.int64()), pa.array([ids] * n, pa.binary())], schema=schema)
+        one = [pa.array([pieces[0]["doc_id"]], pa.int64()), pa.array([pieces[0]["text_key"]], pa.int64()), *finish([ids])]
+        return pa.table([pa.concat_arrays([c] * n) for c in one], names=names)
 
-    ddl = "doc_id long, text_key long, ids binary"
+    ddl = f"doc_id long, text_key long, {columns}"
     here = rows.where(F.length("text") <= long).select("doc_id", "text", "text_key").mapInArrow(short, ddl)
     # rows that repeat id and text are joined once and given as often as they came
     longs = rows.where(F.length("text") > long).groupBy("doc_id", "text", "text_key").agg(F.count("*").alias("copies"))
@@ -252,20 +262,23 @@ def bpe_decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.withColumn("decoded", F.pandas_udf(decode, "string")("ids"))
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@lru_cache(maxsize=4)
+def decimals(path: str) -> list[str]:
+    """Every id of a vocabulary as a decimal number."""
+    return list(map(str, range(tokenizer(path).get_vocab_size())))
+
+
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
     """Per row the number of ids, and the hashes of the id list and of the decoded text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-    def digest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = list(map(str, range(tokenizer(path).get_vocab_size())))
-        for part in sliced(parts):
-            n, ids_sha, text_sha = [], [], []
-            for raw in part.column(1).to_pylist():
-                ids = np.frombuffer(raw, np.uint32)
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join([names[i] for i in ids.tolist()]).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(decoded(path, ids).encode()).hexdigest())
-            yield pa.record_batch([part.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=schema)
-
-    found = bpe_encode(docs, path, id_col, text_col).select("doc_id", "ids")
-    return found.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(raws: list[bytes]) -> list[pa.Array]:
+        names, n, ids_sha, text_sha = decimals(path), [], [], []
+        for raw in raws:
+            ids = np.frombuffer(raw, np.uint32)
+            n.append(len(ids))
+            ids_sha.append(hashlib.sha256(",".join([names[i] for i in ids.tolist()]).encode()).hexdigest())
+            text_sha.append(hashlib.sha256(decoded(path, ids).encode()).hexdigest())
+        return [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+
+    found = bpe_encode(docs, path, id_col, text_col, long, digest, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return found.drop("text_key")
