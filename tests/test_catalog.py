@@ -1,4 +1,6 @@
 import dataclasses
+import glob
+from collections.abc import Mapping
 from datetime import timedelta
 
 import pytest
@@ -8,10 +10,12 @@ from wardlight import fixed
 from wardlight.operators import annotations
 from wardlight.plans import runs
 from wardlight.plans.catalog import Query, catalog, find
-from wardlight.plans.runs import METRIC_SOURCES, query_label, run_catalog, snapshot
+from wardlight.plans.runs import METRIC_SOURCES, query_label, run_catalog, run_catalog_results, snapshot
 from wardlight.schemas import SOURCE_DDL, schema
+from wardlight.sources.driver_tables import HOSPITAL_AS_OF, hospital_tables
 
 TODAY = at("2024-05-15 08:00")
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -212,3 +216,53 @@ def test_snapshot_with_annotations(spark, data):
 
 def test_every_table_has_a_schema(data):
     assert set(data) == set(SOURCE_DDL) and len(SOURCE_DDL) == 21
+
+
+# Queries that share a fact, and the large source table that they all read before.
+SHARING = {
+    "triagem_atendimento": ["fila_recepcao", "fila_triagem", "fila_atendimento_medico", "fila_medicacao", "media_espera_classificacao",
+                            "media_espera_atendimento_medico", "media_espera_cadastro", "atendimento_por_horario"],
+    "itpre_med": ["medicamentos_alto_risco", "top_20_medicamentos_ps", "top_20_medicamentos_sc", "antibioticos_vs_analgesicos",
+                  "medicamentos_prescritos_por_medico"],
+    "cirurgia_aviso": ["cirurgias_realizadas_por_tipo", "tempo_medio_por_tipo_cirurgia", "cirurgias_realizadas_por_porte_12m",
+                       "cirurgias_realizadas_por_medico"],
+    "pre_med": ["retorno"],
+}
+
+
+@pytest.mark.parametrize("table", list(SHARING))
+def test_a_run_joins_a_history_once(spark, tmp_path, table):
+    """Queries of a run share what they join alike, with the results that each has alone; nothing of it is left."""
+    hospital, read = hospital_tables(spark, SF), []
+
+    class Noting(Mapping):
+        def __getitem__(self, name):
+            read.append(name)
+            return hospital[name]
+
+        def __iter__(self):
+            return iter(hospital)
+
+        def __len__(self):
+            return len(hospital)
+
+    queries = [find(key) for key in SHARING[table]]
+    left = set(facts_left(spark))
+    log, found = run_catalog_results(spark, Noting(), HOSPITAL_AS_OF, queries, folder=str(tmp_path / "out"))
+    assert [r.error for r in log.collect()] == [None] * len(queries)
+    assert read.count(table) == 1 and set(facts_left(spark)) == left
+    for query in queries:
+        alone = sorted(values(query.build(hospital, HOSPITAL_AS_OF)), key=str)
+        assert alone and sorted(values(found[query.key]), key=str) == alone
+
+
+def facts_left(spark):
+    return glob.glob(f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file:')}/wardlight/facts-*")
+
+
+def test_a_fact_that_fails_is_in_the_log_of_its_queries(spark, data):
+    lost = {name: df for name, df in data.items() if name != "itpre_med"}
+    wanted = [find(key) for key in ("medicamentos_alto_risco", "top_20_medicamentos_ps", "fila_recepcao", "retorno")]
+    log = {r.query_key: r for r in run_catalog(spark, lost, AS_OF, wanted).collect()}
+    assert "itpre_med" in log["medicamentos_alto_risco"].error and "itpre_med" in log["top_20_medicamentos_ps"].error
+    assert log["fila_recepcao"].error is None and log["fila_recepcao"].row_count == 1

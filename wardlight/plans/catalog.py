@@ -5,6 +5,7 @@ Every query is a function of (tables, as_of) and returns a lazy DataFrame.
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
@@ -54,6 +55,20 @@ def find(key: str) -> Query:
 BOARD, NURSING, ICU, SURGERY, PHARMACY, SHARED = fixed.AREAS
 
 
+# Facts that several queries look at, or one looks at from several sides, by name.  A run of the catalog
+# has them among its tables (``runs.RunTables``): each is made once and stored, so a history is shuffled
+# once, and what is small is known to be small.  Without them a query starts from the source tables.
+FACTS: dict[str, Callable[[Tables, datetime], DataFrame]] = {}
+
+
+def _fact(name: str):
+    def register(make: Callable[[Tables, datetime], DataFrame]):
+        FACTS[name] = make
+        return make
+
+    return register
+
+
 def _inpatients() -> Column:
     """Root encounters of the inpatient company and type."""
     return (F.col("cd_multi_empresa") == 1) & F.col("cd_atendimento_pai").isNull() & (F.col("tp_atendimento") == "I")
@@ -104,6 +119,16 @@ def deaths_per_month(tables: Tables, as_of: datetime) -> DataFrame:
 
 # Queues.
 
+@_fact("recent_visits")
+def recent_visits(tables: Tables, as_of: datetime) -> DataFrame:
+    """Triage visits of the last 24 hours; those of the day are among them."""
+    return counting.in_span(tables["triagem_atendimento"], "dh_pre_atendimento", days_before(as_of, 1))
+
+
+def _visits(tables: Tables) -> DataFrame:
+    return tables["recent_visits" if "recent_visits" in tables else "triagem_atendimento"]
+
+
 def _stalled(at: int, later: Callable[[Column], Column], count: str, pending: bool = False):
     def build(tables: Tables, as_of: datetime) -> DataFrame:
         require = None
@@ -111,7 +136,7 @@ def _stalled(at: int, later: Callable[[Column], Column], count: str, pending: bo
             require = tables["sacr_pendencia_sala"].filter("tp_situacao = 'INI' and tp_pedido = 'MED'")
         step = "cd_tipo_tempo_processo"
         return queues.stalled_at_step(
-            tables["triagem_atendimento"], tables["sacr_tempo_processo"], "cd_triagem_atendimento", step, at,
+            _visits(tables), tables["sacr_tempo_processo"], "cd_triagem_atendimento", step, at,
             later(F.col(step)), days_before(as_of, 1), "dh_pre_atendimento", require, count,
         )
 
@@ -126,7 +151,7 @@ reception_queue = _query(NURSING, "fila_recepcao")(
 @_query(NURSING, "fila_triagem")
 def triage_queue(tables: Tables, as_of: datetime) -> DataFrame:
     return queues.single_event_queue(
-        tables["triagem_atendimento"], tables["sacr_tempo_processo"], "cd_triagem_atendimento", as_of,
+        _visits(tables), tables["sacr_tempo_processo"], "cd_triagem_atendimento", as_of,
         "dh_pre_atendimento",
         (F.col("cd_multi_empresa") == 2) & F.col("cd_fila_senha").isin(fixed.TRIAGE_QUEUES),
     )
@@ -145,7 +170,7 @@ medication_queue = _query(NURSING, "fila_medicacao")(
 def _wait(from_step: int, to_step: int, fold: bool, known_steps: bool, closed: bool = False):
     def build(tables: Tables, as_of: datetime) -> DataFrame:
         return waits.step_wait(
-            tables["triagem_atendimento"], tables["sacr_tempo_processo"], "cd_triagem_atendimento",
+            _visits(tables), tables["sacr_tempo_processo"], "cd_triagem_atendimento",
             "cd_tipo_tempo_processo", "dh_processo", from_step, to_step, "dh_pre_atendimento",
             days_before(as_of, 1), as_of if closed else None,
             tables["sacr_tipo_tempo_processo"] if known_steps else None, fold,
@@ -167,17 +192,45 @@ wait_registration = _query(NURSING, "media_espera_cadastro")(
 
 @_query(NURSING, "qtd_pacientes_retorno_7_dias")
 def returners(tables: Tables, as_of: datetime) -> DataFrame:
-    where = (F.col("tp_atendimento") == "U") & (F.col("cd_multi_empresa") == 2)
     return queues.frequent_returners(
-        tables["atendime"], "cd_paciente", "cd_atendimento", "dt_atendimento", as_of, 7, 2, where,
+        tables["atendime"], "cd_paciente", "cd_atendimento", "dt_atendimento", as_of, 7, 2, _emergency(),
         "pacientes_reconsultadores",
     )
 
 
+def _emergency() -> Column:
+    return (F.col("tp_atendimento") == "U") & (F.col("cd_multi_empresa") == 2)
+
+
+def _month(as_of: datetime) -> tuple[datetime, datetime]:
+    return month_start(as_of), shift_months(month_start(as_of), 1)
+
+
+@_fact("sheet_encounters")
+def sheet_encounters(tables: Tables, as_of: datetime) -> DataFrame:
+    """The encounters of the month's sheet."""
+    start, end = _month(as_of)
+    return counting.in_span(tables["atendime"], "hr_atendimento", start, end).filter(_emergency())
+
+
+def _of_sheet(name: str):
+    def make(tables: Tables, as_of: datetime) -> DataFrame:
+        rows = counting.months_in_span(tables[name], "hr_atendimento", *_month(as_of))
+        return rows.join(tables["sheet_encounters"].select("cd_atendimento"), "cd_atendimento", "left_semi")
+
+    return make
+
+
+# The tables of the sheet that are cut to its encounters, and what holds their rows in a run.
+_SHEET = {"atendime": "sheet_encounters", "pre_med": "sheet_prescriptions", "coleta_sinal_vital": "sheet_readings"}
+for _name in ("pre_med", "coleta_sinal_vital"):
+    _fact(_SHEET[_name])(_of_sheet(_name))
+
+
 @_query(NURSING, "retorno")
 def encounter_sheet(tables: Tables, as_of: datetime) -> DataFrame:
-    where = (F.col("tp_atendimento") == "U") & (F.col("cd_multi_empresa") == 2)
-    return encounters.encounter_summary(tables, month_start(as_of), where)
+    own = {name: tables[fact] for name, fact in _SHEET.items() if fact in tables}
+    return encounters.encounter_summary(ChainMap(own, tables), month_start(as_of), _emergency())
 
 
 # Beds and stays.
@@ -234,8 +287,22 @@ def surgery_status(tables: Tables, as_of: datetime) -> DataFrame:
     ).orderBy(F.asc_nulls_last("mes"), F.asc_nulls_last("tp_situacao"))
 
 
+@_fact("performed")
+def performed_procedures(tables: Tables, as_of: datetime) -> DataFrame:
+    """Performed surgery notices of all times with their procedures."""
+    return _joined_procedures(tables).select(
+        "cd_aviso_cirurgia", "cd_cirurgia_aviso", "cd_cirurgia", "cd_multi_empresa", "dt_realizacao", "dt_inicio_cirurgia",
+        "dt_fim_cirurgia")
+
+
 def _performed(tables: Tables, *conditions: Column, since: datetime | None = None) -> DataFrame:
     """Performed surgery notices with their procedures."""
+    if "performed" in tables:
+        return counting.kept(counting.in_span(tables["performed"], "dt_realizacao", since), *conditions)
+    return _joined_procedures(tables, *conditions, since=since)
+
+
+def _joined_procedures(tables: Tables, *conditions: Column, since: datetime | None = None) -> DataFrame:
     notices = counting.in_span(tables["aviso_cirurgia"], "dt_realizacao", since)
     notices = counting.kept(notices, F.col("tp_situacao") == "R", *conditions)
     return notices.join(counting.children_in_span(tables["cirurgia_aviso"], "dt_realizacao", since), "cd_aviso_cirurgia")
@@ -256,17 +323,37 @@ def surgeries_by_type(tables: Tables, as_of: datetime) -> DataFrame:
 GIVEN = "coalesce(sn_cancelado, 'N') = 'N'"
 
 
-def _items(tables: Tables, since: datetime | None, company: int | None = None) -> DataFrame:
+def _since_a_year(as_of: datetime) -> datetime:
+    return shift_months(day_start(as_of), -12)
+
+
+@_fact("given_items")
+def given_items(tables: Tables, as_of: datetime) -> DataFrame:
+    """Items of the last twelve months that were not cancelled; no query asks for older ones."""
+    return _joined_items(tables, _since_a_year(as_of)).select("cd_atendimento", "cd_prestador", "dt_pre_med", "cd_produto", "ds_itpre_med")
+
+
+def _items(tables: Tables, since: datetime, company: int | None = None) -> DataFrame:
     """Items that were not cancelled, with their prescription's date, doctor and encounter.
 
     Items that are stored by their prescription's months are read from the month of ``since`` on.
     Prescriptions are cut to the encounters of a company before the far more
     numerous items are joined.
     """
+    if "given_items" not in tables:
+        return _joined_items(tables, since, company)
+    items = counting.in_span(tables["given_items"], "dt_pre_med", since)
+    return items if company is None else items.join(_of_company(tables, company), "cd_atendimento")
+
+
+def _of_company(tables: Tables, company: int) -> DataFrame:
+    return tables["atendime"].filter(F.col("cd_multi_empresa") == company).select("cd_atendimento")
+
+
+def _joined_items(tables: Tables, since: datetime, company: int | None = None) -> DataFrame:
     orders = counting.in_span(tables["pre_med"], "dt_pre_med", since)
     if company is not None:
-        wanted = tables["atendime"].filter(F.col("cd_multi_empresa") == company).select("cd_atendimento")
-        orders = orders.join(wanted, "cd_atendimento")
+        orders = orders.join(_of_company(tables, company), "cd_atendimento")
     items = counting.children_in_span(tables["itpre_med"], "dt_pre_med", since)
     return items.filter(GIVEN).join(orders, "cd_pre_med")
 
@@ -281,7 +368,7 @@ def items_per_product_month(tables: Tables, as_of: datetime) -> DataFrame:
 
 def _top_20(company: int):
     def build(tables: Tables, as_of: datetime) -> DataFrame:
-        rows = _items(tables, shift_months(day_start(as_of), -12), company)
+        rows = _items(tables, _since_a_year(as_of), company)
         names = tables["produto"].select("cd_produto", F.col("ds_produto").alias("medicamento"))
         return pharmacy.top_k_by_count(
             rows, "cd_produto", 20, text="ds_itpre_med", exclude_prefixes=fixed.CONDITIONAL_PREFIXES,
@@ -298,7 +385,7 @@ top_products_inpatient = _query(PHARMACY, "top_20_medicamentos_sc")(_top_20(1))
 @_query(PHARMACY, "antibioticos_vs_analgesicos")
 def drug_classes(tables: Tables, as_of: datetime) -> DataFrame:
     return pharmacy.keyword_class_monthly(
-        _items(tables, shift_months(day_start(as_of), -12)), "dt_pre_med", "cd_produto", tables["produto"],
+        _items(tables, _since_a_year(as_of)), "dt_pre_med", "cd_produto", tables["produto"],
         "ds_produto", fixed.DRUG_CLASSES, fixed.OTHER_DRUGS,
     )
 
@@ -378,7 +465,7 @@ def prescribed_items_page(
 
 @_query(SHARED, "medicamentos_prescritos_por_medico")
 def items_per_prescriber(tables: Tables, as_of: datetime) -> DataFrame:
-    rows = _items(tables, shift_months(day_start(as_of), -12))
+    rows = _items(tables, _since_a_year(as_of))
     counted = counting.count_by_entity(
         rows, "cd_prestador", where=F.col("cd_produto").isNotNull(), count="qtde_medicamentos"
     )
@@ -389,6 +476,6 @@ def items_per_prescriber(tables: Tables, as_of: datetime) -> DataFrame:
 @_query(SHARED, "atendimento_por_horario")
 def arrivals_by_hour(tables: Tables, as_of: datetime) -> DataFrame:
     return counting.hourly_arrivals(
-        tables["triagem_atendimento"], tables["sacr_tempo_processo"], "cd_triagem_atendimento",
+        _visits(tables), tables["sacr_tempo_processo"], "cd_triagem_atendimento",
         "dh_pre_atendimento", as_of, "cd_tipo_tempo_processo", fixed.STEP_TICKET, F.col("cd_multi_empresa") == 2,
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterable, Mapping
+from collections.abc import Collection, Iterable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
+from threading import Lock
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from wardlight import fixed
 from wardlight.functions.dates import moment, ntz
 from wardlight.operators import alerts as alerting
 from wardlight.operators import annotations, findings, metrics
-from wardlight.plans.catalog import Query, catalog, find
+from wardlight.plans.catalog import FACTS, Query, catalog, find
 from wardlight.schemas import schema
 from wardlight.session import shared_folder, written
 from wardlight.sources.versions import PART, drop, read_parts, replace_parts
@@ -26,6 +27,43 @@ def query_label(key: str) -> str:
     return " ".join(word.title() for word in key.split("_") if word)
 
 
+class RunTables(Mapping):
+    """The tables of a run, and the catalog's ``FACTS`` as of its moment.
+
+    A fact is made when the first query asks for it, stored below ``folder``, and read
+    from there by all.  Who fails to make one leaves that to the next.
+    """
+
+    def __init__(self, tables: Mapping[str, DataFrame], as_of: datetime, folder: str):
+        self._tables, self._as_of, self._folder = tables, as_of, folder
+        self._made: dict[str, DataFrame] = {}
+        self._locks = {name: Lock() for name in FACTS}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in FACTS:
+            return self._tables[name]
+        with self._locks[name]:
+            if name not in self._made:
+                fact, path = FACTS[name](self, self._as_of), f"{self._folder}/{name}"
+                fact.write.mode("overwrite").parquet(path)
+                self._made[name] = fact.sparkSession.read.schema(fact.schema).parquet(path)
+            return self._made[name]
+
+    def __contains__(self, name: object) -> bool:  # asking makes nothing
+        return name in FACTS or name in self._tables
+
+    def __iter__(self) -> Iterator[str]:
+        return iter([*self._tables, *FACTS])
+
+    def __len__(self) -> int:
+        return len(self._tables) + len(FACTS)
+
+    def drop(self, spark: SparkSession) -> None:
+        """Remove the facts that were made."""
+        if self._made:
+            drop(spark, self._folder)
+
+
 def run_query(
     query: Query, tables: Mapping[str, DataFrame], as_of: datetime, folder: str, sample: int = fixed.SAMPLE_ROWS,
 ) -> tuple[tuple, DataFrame | None]:
@@ -67,10 +105,13 @@ def run_catalog_results(
 
     ``parallel`` queries share the cluster at a time.  Results go to ``folder``, by
     default a new one below the shared folder; who runs it owns and removes it.
+    Facts that several queries look at are stored for the time of the run.
     """
     at, out = moment(as_of), folder or shared_folder(spark, "results")
+    own = RunTables(tables, at, shared_folder(spark, "facts"))
     with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(lambda q: run_query(q, tables, at, out), catalog() if queries is None else queries))
+        done = list(pool.map(lambda q: run_query(q, own, at, out), catalog() if queries is None else queries))
+    own.drop(spark)
     log = spark.createDataFrame([row for row, _ in done], schema("run_log"))
     return log, {row[1]: result for row, result in done if result is not None}
 
