@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from conftest import SCHEMA
+from conftest import SCHEMA, table
 
 from wardlight.llm import exact_dedup, line_dedup, simhash, suffix_dedup
 from wardlight.llm.common import merged
+from wardlight.llm.queries import QUERIES
 
 
 def unique(rows):
@@ -203,6 +204,29 @@ def test_suffix_dedup(odd, odd_rows, cap):
         (i, *want[i, t or ""]) for i, t, _ in odd_rows)
 
 
+def test_suffix_query_takes_400_bytes(spark, tmp_path):
+    """The contract's length to the byte: a shared passage of 51 words or of 399 bytes stays, one of 400 goes."""
+    rng = random.Random(11)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghij ") for _ in range(n))
+
+    words = " ".join(noise(5).replace(" ", "k") for _ in range(51))
+    rows, want = [], {}
+    for k, shared in enumerate((words, noise(399), noise(400))):
+        for i in (10 * k, 10 * k + 1):
+            # other bytes on both sides, or the string would be longer
+            left, right = noise(70) + "yz"[i % 2], "YZ"[i % 2] + noise(70)
+            rows.append((i, left + shared + right, "en"))
+            gone = 400 if len(shared) == 400 else 0
+            kept = left + right if gone else left + shared + right
+            want[i] = (len(rows[-1][1]), gone, int(gone > 0), hashlib.sha256(kept.encode()).hexdigest(), len(kept))
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op3_suffix_dedup"](spark, str(tmp_path))
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {r[0]: tuple(r[1:]) for r in got.collect()} == want
+
+
 def test_scan_on_random_texts():
     rng = random.Random(5)
     for trial in range(150):
